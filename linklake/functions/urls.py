@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 from linklake.functions.fixed import MULTI_SUFFIXES, TRACKING_PARAMS
 
 #: White space and control characters cut from both ends of an address.
-EDGE = r"^[\s\x00-\x20  -​　﻿]+|[\s\x00-\x20  -​　﻿]+$"
+EDGE = "".join(map(chr, [*range(33), 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+_WEB = r"(?s)^(?i:(https?)):/*(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]*)?([^?#]*)(?:\?([^#]*))?.*$"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once; Catalyst would repeat it at every use inside branches."""
+    return F.transform(F.array(value), body).getItem(0)
 
 
 def trimmed(u: Column) -> Column:
-    return F.regexp_replace(u, EDGE, "")
+    return F.trim(u, F.lit(EDGE))
 
 
 def scheme_of(u: Column) -> Column:
@@ -27,23 +34,26 @@ def scheme_of(u: Column) -> Column:
 
 def absolute(u: Column) -> Column:
     """Trimmed text, with ``https://`` in front where it has no scheme; null for null or blank."""
-    t = trimmed(u)
-    return F.when(t == "", None).when(scheme_of(t) == "", F.concat(F.lit("https://"), t)).otherwise(t)
+    return let(trimmed(u), lambda t: F.when(t == "", None).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), t).otherwise(F.concat(F.lit("https://"), t)))
 
 
 def is_web(a: Column) -> Column:
     return a.rlike(r"^(?i:https?):")
 
 
-def _web(a: Column, group: int) -> Column:
-    return F.regexp_extract(a, r"(?s)^(?i:https?):/*(?:[^/?#@]*@)?([^/?#:]*)(:[0-9]*)?([^?#]*)(?:\?([^#]*))?", group)
+def _parts(a: Column) -> Column:
+    """[scheme, host, port, path, query] of an absolute http(s) address, each '' if missing; one match does it."""
+    return F.split(F.regexp_replace(a, _WEB, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001")
+
+
+def _host(a: Column) -> Column:
+    h = F.regexp_replace(F.lower(F.regexp_extract(a, _WEB, 2)), r"\.$", "")
+    return F.when(is_web(a), let(h, lambda h: F.when(h.rlike(r"[\s<>^|%]"), "").otherwise(h))).otherwise(F.lit(""))
 
 
 def host(u: Column) -> Column:
-    """Lower-cased host of an http(s) address (scheme optional), without final dot; '' where there is none."""
-    a = absolute(u)
-    h = F.regexp_replace(F.lower(_web(a, 1)), r"\.$", "")
-    return F.when(is_web(a) & ~h.rlike(r"[\s<>^|%]"), h).otherwise(F.lit(""))
+    """Lower-cased host of an http(s) address (scheme optional), without final dot; '' where there is none, null for null."""
+    return let(absolute(u), lambda a: F.when(a.isNull(), F.when(u.isNotNull(), "")).otherwise(_host(a)))
 
 
 def hostname(u: Column, strip_www: bool = True) -> Column:
@@ -51,17 +61,19 @@ def hostname(u: Column, strip_www: bool = True) -> Column:
     return F.regexp_replace(h, r"^www\.", "") if strip_www else h
 
 
+def base_domain_of(h: Column) -> Column:
+    """Registrable domain of a host: numeric hosts and hosts of two labels or fewer as they are, '' for ''."""
+
+    def cut(parts: Column) -> Column:
+        n = F.size(parts)
+        tail = lambda k: F.array_join(F.slice(parts, n - k + 1, F.lit(k)), ".")
+        return F.when(n <= 2, h).when(tail(2).isin(MULTI_SUFFIXES), tail(3)).otherwise(tail(2))
+
+    return F.when((h == "") | h.rlike(r"^[0-9]+(\.[0-9]+){3}$"), h).otherwise(let(F.filter(F.split(h, r"\."), lambda p: p != ""), cut))
+
+
 def base_domain(u: Column) -> Column:
-    """Registrable domain: numeric hosts and hosts of two labels or fewer as they are, '' for no host."""
-    h = host(u)
-    parts = F.filter(F.split(h, r"\."), lambda p: p != "")
-    n = F.size(parts)
-    tail = lambda k: F.array_join(F.slice(parts, -k, k), ".")
-    return (
-        F.when((h == "") | h.rlike(r"^[0-9]+(\.[0-9]+){3}$") | (n <= 2), h)
-        .when(tail(2).isin(MULTI_SUFFIXES), tail(3))
-        .otherwise(tail(2))
-    )
+    return let(host(u), base_domain_of)
 
 
 def decoded(v: Column) -> Column:
@@ -74,36 +86,40 @@ def normalize(u: Column, keep_tracking: bool = False, keep_params: list[str] | N
 
     Null gives ''. Text that is no http(s) address comes out trimmed and lower-cased.
     """
-    a = absolute(u)
-    scheme = scheme_of(a)
-    port = _web(a, 2)
-    shown_port = F.when((port == "") | (port == ":") | ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443")), "").otherwise(port)
-    path = _web(a, 3)
-    path = F.when(path == "", "/").otherwise(path)
-    if not keep_trailing_slash:
-        path = F.when(F.length(path) > 1, F.coalesce(F.nullif(F.regexp_replace(path, "/+$", ""), F.lit("")), F.lit("/"))).otherwise(path)
     drop = [] if keep_tracking else sorted(set(TRACKING_PARAMS) - {p.lower() for p in keep_params or []})
-    fields = F.filter(F.split(_web(a, 4), "&"), lambda f: f != "")
-    pairs = F.transform(fields, lambda f, i: F.struct(
-        F.lower(decoded(F.regexp_extract(f, "(?s)^([^=]*)", 1))).alias("k"),
-        i.alias("i"),
-        decoded(F.regexp_extract(f, "(?s)^[^=]*=(.*)$", 1)).alias("v"),
-    ))
-    if drop:
-        pairs = F.filter(pairs, lambda p: ~p["k"].isin(drop))
-    query = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.when(p["v"] == "", p["k"]).otherwise(F.concat(p["k"], F.lit("="), p["v"]))), "&")
-    query = F.when(_web(a, 4) == "", "").otherwise(query)
-    head = F.lit("//") if ignore_scheme else F.concat(scheme, F.lit("://"))
-    h = F.regexp_replace(F.lower(_web(a, 1)), r"\s", "")
-    web = F.concat(head, h, shown_port, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
-    return F.when(a.isNull(), F.lit("")).when(is_web(a) & (h != ""), web).otherwise(F.lower(F.when(scheme_of(trimmed(u)) == "", trimmed(u)).otherwise(a)))
+
+    def query(q: Column) -> Column:
+        fields = F.transform(F.split(q, "&"), lambda f, i: F.struct(
+            F.lower(decoded(F.substring_index(f, "=", 1))).alias("k"),
+            i.alias("i"),
+            F.when(f.contains("="), decoded(F.regexp_extract(f, "(?s)^[^=]*=(.*)$", 1))).otherwise("").alias("v"),
+            f.alias("f"),
+        ))
+        kept = F.array_sort(F.filter(fields, lambda p: (p["f"] != "") & ~p["k"].isin(drop) if drop else p["f"] != ""))
+        return F.array_join(F.transform(kept, lambda p: F.when(p["v"] == "", p["k"]).otherwise(F.concat(p["k"], F.lit("="), p["v"]))), "&")
+
+    def web(p: Column) -> Column:
+        scheme, h, port, path, q = F.lower(p[0]), F.regexp_replace(F.lower(p[1]), r"\s", ""), p[2], p[3], p[4]
+        port = F.when(port.isin("", ":") | ((scheme == "http") & (port == ":80")) | ((scheme == "https") & (port == ":443")), "").otherwise(port)
+        if not keep_trailing_slash:
+            path = F.regexp_replace(path, "/+$", "")
+        path = F.when(path == "", "/").otherwise(path)
+        fields = F.when(q == "", "").otherwise(let(query(q), lambda x: F.when(x == "", "").otherwise(F.concat(F.lit("?"), x))))
+        return F.concat(F.lit("//") if ignore_scheme else F.concat(scheme, F.lit("://")), h, port, path, fields)
+
+    def whole(a: Column) -> Column:
+        parts = let(_parts(a), lambda p: F.when(p[1] != "", web(p)))
+        return F.when(a.isNull(), "").when(is_web(a), F.coalesce(parts, F.lower(trimmed(u)))).otherwise(F.lower(a))
+
+    return let(absolute(u), whole)
 
 
 def classify(u: Column) -> Column:
-    """struct(kind, protocol, host): kind is empty, invalid, http or other."""
-    t = F.coalesce(trimmed(u), F.lit(""))
-    a = absolute(u)
-    s = scheme_of(a)
-    h = host(u)
-    kind = F.when(t == "", "empty").when(is_web(a), F.when(h == "", "invalid").otherwise("http")).otherwise("other")
-    return F.struct(kind.alias("kind"), F.when(kind.isin("empty", "invalid"), "").otherwise(F.concat(s, F.lit(":"))).alias("protocol"), F.when(kind == "http", h).otherwise("").alias("host"))
+    """struct(kind, protocol, host): kind is empty, invalid, http or other; null counts as empty."""
+
+    def of(a: Column) -> Column:
+        h = _host(a)
+        kind = F.when(a.isNull(), "empty").when(is_web(a), F.when(h == "", "invalid").otherwise("http")).otherwise("other")
+        return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k.isin("empty", "invalid"), "").otherwise(F.concat(scheme_of(a), F.lit(":"))).alias("protocol"), F.when(k == "http", h).otherwise("").alias("host")))
+
+    return let(absolute(u), of)
