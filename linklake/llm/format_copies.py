@@ -52,7 +52,7 @@ def invariants(title: Column, url: Column) -> Column:
     """64 bits over the stripped lengths and letter histograms of both fields."""
 
     def count(s: Column) -> list[Column]:
-        return [F.length(s), *[F.length(F.translate(s, c, "")) for c in HISTOGRAM]]
+        return [F.length(s), *[F.length(F.replace(s, F.lit(c), F.lit(""))) for c in HISTOGRAM]]
 
     return let(F.struct(fold(title).alias("t"), fold(unescaped(F.coalesce(url, F.lit("")))).alias("u")), lambda s: F.xxhash64(*count(s["t"]), *count(s["u"])))
 
