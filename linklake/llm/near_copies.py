@@ -38,7 +38,7 @@ DEPTH, WIDTH = 4, 1 << 18
 #: Candidates below these go; pairs of the required score stay far above (a score of 0.7 needs a title Jaccard of 0.4).
 LEAST_TITLE, LEAST_WEIGHTED = 0.3, 0.25
 
-_FEATURES = "id bigint, cls bigint, t array<int>, u array<int>"
+_FEATURES = "id bigint, cls bigint, bits bigint, t array<int>, u array<int>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +82,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = [title(x) for x in titles.to_pylist()]
         keep = np.array([bool(x) for x in t], dtype=bool)
         u = [address(x) if k else [] for x, k in zip(addresses.to_pylist(), keep)]
-        out = pa.RecordBatch.from_arrays([ids, cls, pa.array(t, pa.list_(pa.int32())), pa.array(u, pa.list_(pa.int32()))], names=["id", "cls", "t", "u"])
+        bits = np.zeros(len(t), np.uint64)
+        n = np.array([len(x) for x in t])
+        np.bitwise_or.at(bits, np.repeat(np.arange(len(t)), n), np.uint64(1) << (np.array([x & 63 for y in t for x in y], np.uint64)))
+        out = pa.RecordBatch.from_arrays([ids, cls, pa.array(bits.view(np.int64)), pa.array(t, pa.list_(pa.int32())), pa.array(u, pa.list_(pa.int32()))], names=["id", "cls", "bits", "t", "u"])
         yield out.filter(pa.array(keep))
 
 
@@ -150,6 +153,19 @@ def _samples(tokens: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _pack(hashes: np.ndarray, classes: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte planes apart and compressed, then the classes."""
+    steps = np.diff(hashes, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    packed = pa.compress(np.ascontiguousarray(steps).tobytes(), codec="zstd", asbytes=True)
+    return len(hashes).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed + classes.astype("<i8").tobytes()
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    planes = np.frombuffer(pa.decompress(blob[8 : 8 + size], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32), np.frombuffer(blob, "<i8", offset=8 + size)
+
+
 def _bands(sketch, rows: int, per_band: int):
     """Packed (hash, class) entries by part = band * per_band + range of the hash."""
 
@@ -179,15 +195,17 @@ def _bands(sketch, rows: int, per_band: int):
                 h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + s[:, :, r] + np.uint64(r + 1))
             h = (h >> np.uint64(32)).astype(np.uint32)
             parts, blobs = [], []
+            edges = (np.arange(1, per_band, dtype=np.uint64) << np.uint64(32)) // np.uint64(per_band)
             for band in range(BANDS):
-                entries = np.empty(len(cls), [("h", "<u4"), ("c", "<i8")])
-                entries["h"], entries["c"] = h[:, band], cls
-                entries = np.unique(entries)
-                edges = np.searchsorted(entries["h"], (np.arange(1, per_band, dtype=np.uint64) << np.uint64(32)) // np.uint64(per_band))
-                for k, e in enumerate(np.split(entries, edges)):
-                    if len(e):
+                order = np.lexsort((cls, h[:, band]))
+                x, c = h[order, band], cls[order]
+                once = np.concatenate([[True], (x[1:] != x[:-1]) | (c[1:] != c[:-1])])
+                x, c = x[once], c[once]
+                cuts = [0, *np.searchsorted(x, edges).tolist(), len(x)]
+                for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                    if j > i:
                         parts.append(band * per_band + k)
-                        blobs.append(e.tobytes())
+                        blobs.append(_pack(x[i:j], c[i:j]))
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "entries"])
 
         for b in batches:
@@ -205,10 +223,20 @@ def _bands(sketch, rows: int, per_band: int):
 def _buckets(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """Rows (a, b, cross): two packed lists of classes. cross: pair each of a with each of b, in the same list only
     upwards; otherwise pair them place by place."""
-    e = np.unique(np.concatenate([np.frombuffer(x.as_py(), [("h", "<u4"), ("c", "<i8")]) for x in t.column("entries")]))
-    starts = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(e)]]))
-    c, a, b, cross = e["c"], [], [], []
+    h, c = map(np.concatenate, zip(*(_unpack(x.as_py()) for x in t.column("entries"))))
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
+    shared = np.concatenate([[False], h[1:] == h[:-1]])
+    shared[:-1] |= shared[1:]
+    h, c = h[shared], c[shared]  # most hashes are held by one row only
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    once = np.ones(len(h), bool)
+    once[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    h, c = h[once], c[once]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(h)]]))
+    a, b, cross = [], [], []
     left, right = [], []
     for n in np.unique(sizes[(sizes > 1) & (sizes <= BLOCK)]):
         members = c[starts[sizes == n][:, None] + np.arange(n)]
@@ -286,14 +314,20 @@ def candidate_classes(rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFr
     _release(spark)
     apart = buckets.where("not crossed").mapInArrow(_expand, "a bigint, b bigint")
     crossed = buckets.where("crossed").repartition(4 * parallelism(spark)).mapInArrow(_expand, "a bigint, b bigint")
-    pairs = apart.union(crossed).distinct()
-    one = features.groupBy("cls").agg(F.min(F.struct("id", "t", "u")).alias("f")).select("cls", "f.t", "f.u")
+    # first by 64 bits of title tokens a class, so that only few candidates fetch whole features
+    bits = features.groupBy("cls").agg(F.bit_or("bits").alias("bits"))
+    sketched = lambda c: bits.select(F.col("cls").alias(c), F.col("bits").alias(f"s{c}"))
+    overlap = F.bit_count(F.col("sa").bitwiseAND(F.col("sb"))) >= LEAST_TITLE * F.bit_count(F.col("sa").bitwiseOR(F.col("sb")))
+    likely = ws.put(apart.union(crossed).join(sketched("a"), "a").join(sketched("b"), "b").where(overlap).select("a", "b").distinct())
+    ws.drop(buckets)
+    del apart, crossed, bits
+    _release(spark)
+    hit = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
+    one = features.join(hit, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("id", "t", "u")).alias("f")).select("cls", "f.t", "f.u")
     side = lambda c: one.select(F.col("cls").alias(c), F.col("t").alias(f"t{c}"), F.col("u").alias(f"u{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = joined.where(text.jaccard(F.col("ta"), F.col("tb")) >= LEAST_TITLE)
-    weighed = alike.select("a", "b", F.concat("ta", "ua").alias("fa"), F.concat("tb", "ub").alias("fb")).mapInArrow(_verify(shared, total), "a bigint, b bigint")
-    verified = ws.put(weighed)
-    del apart, crossed, pairs, one, joined, alike, weighed
+    alike = likely.join(side("a"), "a").join(side("b"), "b").where(text.jaccard(F.col("ta"), F.col("tb")) >= LEAST_TITLE)
+    verified = ws.put(alike.select("a", "b", F.concat("ta", "ua").alias("fa"), F.concat("tb", "ub").alias("fb")).mapInArrow(_verify(shared, total), "a bigint, b bigint"))
+    del hit, one, alike
     _release(spark)
     return verified, features
 
