@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linklake.llm import components, format_copies, near_copies, survivorship
+from linklake.llm import components, format_copies, leakage, near_copies, packing, survivorship
 from linklake.runtime import table
 
 
@@ -34,7 +34,25 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.near_pairs(table(spark, d, "bookmark"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_collapsed, p5_found, p6_found)}
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.pack(table(spark, d, "documents")), 2048)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    leaks = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return leaks.where("kind = 'copy'").select("item_id", "doc_id")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaked document with the longest run, paraphrases included."""
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_collapsed, p5_found, p6_found, p8_pack, p8_fill, p9_found, p9_report)}
 
 _EDGE = r"[\s\x{00}-\x{20}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 _CUT = lambda c: f"regexp_replace({c}, '^{_EDGE}|{_EDGE}$', '', 'g')"
