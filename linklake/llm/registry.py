@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linklake.llm import components, format_copies, leakage, near_copies, packing, survivorship
+from linklake.llm import components, format_copies, leakage, near_copies, packing, residue, survivorship
 from linklake.runtime import table
 
 
@@ -52,7 +52,15 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_collapsed, p5_found, p6_found, p8_pack, p8_fill, p9_found, p9_report)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(table(spark, d, "documents"))
+
+
+def p10_kept(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(table(spark, d, "documents")).select("doc_id", "n_chars")
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_records, p2_found, p2_collapsed, p5_found, p6_found, p8_pack, p8_fill, p9_found, p9_report, p10_found, p10_kept)}
 
 _EDGE = r"[\s\x{00}-\x{20}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 _CUT = lambda c: f"regexp_replace({c}, '^{_EDGE}|{_EDGE}$', '', 'g')"
