@@ -34,3 +34,16 @@ STOPWORDS = [
     "com", "http", "https", "html", "page", "site", "网站", "首页", "官网",
     "教程", "指南", "下载", "免费", "在线",
 ]
+
+# The shorter suffix list of the legacy base-domain rule.
+LEGACY_SUFFIXES = [
+    "com.cn", "net.cn", "org.cn", "gov.cn", "edu.cn", "ac.cn",
+    "co.uk", "org.uk", "me.uk", "ltd.uk",
+    "co.jp", "ne.jp", "or.jp", "ac.jp",
+    "com.au", "net.au", "org.au",
+    "co.nz", "net.nz", "org.nz",
+    "com.tw", "org.tw", "net.tw",
+    "com.hk", "org.hk", "net.hk",
+    "com.sg", "org.sg", "net.sg",
+    "co.kr", "or.kr", "ne.kr",
+]

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linklake.functions.fixed import MULTI_SUFFIXES, TRACKING_PARAMS
+from linklake.functions.fixed import LEGACY_SUFFIXES, MULTI_SUFFIXES, TRACKING_PARAMS
 
 #: White space and control characters cut from both ends of an address.
 EDGE = "".join(map(chr, [*range(33), 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
@@ -61,19 +61,19 @@ def hostname(u: Column, strip_www: bool = True) -> Column:
     return F.regexp_replace(h, r"^www\.", "") if strip_www else h
 
 
-def base_domain_of(h: Column) -> Column:
+def base_domain_of(h: Column, suffixes: list[str] = MULTI_SUFFIXES) -> Column:
     """Registrable domain of a host: numeric hosts and hosts of two labels or fewer as they are, '' for ''."""
 
     def cut(parts: Column) -> Column:
         n = F.size(parts)
         tail = lambda k: F.array_join(F.slice(parts, n - k + 1, F.lit(k)), ".")
-        return F.when(n <= 2, h).when(tail(2).isin(MULTI_SUFFIXES), tail(3)).otherwise(tail(2))
+        return F.when(n <= 2, h).when(tail(2).isin(suffixes), tail(3)).otherwise(tail(2))
 
     return F.when((h == "") | h.rlike(r"^[0-9]+(\.[0-9]+){3}$"), h).otherwise(let(F.filter(F.split(h, r"\."), lambda p: p != ""), cut))
 
 
 def base_domain(u: Column) -> Column:
-    return let(host(u), base_domain_of)
+    return let(host(u), lambda h: base_domain_of(h))
 
 
 def decoded(v: Column) -> Column:
@@ -123,3 +123,58 @@ def classify(u: Column) -> Column:
         return let(kind, lambda k: F.struct(k.alias("kind"), F.when(k.isin("empty", "invalid"), "").otherwise(F.concat(scheme_of(a), F.lit(":"))).alias("protocol"), F.when(k == "http", h).otherwise("").alias("host")))
 
     return let(absolute(u), of)
+
+
+def is_valid(u: Column) -> Column:
+    """Whether the text parses as an http(s) address; false for null."""
+    return F.coalesce(classify(u)["kind"] == "http", F.lit(False))
+
+
+def _strict(u: Column) -> Column:
+    """Parts [scheme, host, port, path, query] of a text that is an http(s) address as it stands; null otherwise."""
+    return let(trimmed(u), lambda t: F.when(is_web(t), let(_parts(t), lambda p: F.when(p[1] != "", p))))
+
+
+def _shown_port(p: Column) -> Column:
+    return F.when(p[2].isin("", ":") | ((F.lower(p[0]) == "http") & (p[2] == ":80")) | ((F.lower(p[0]) == "https") & (p[2] == ":443")), "").otherwise(p[2])
+
+
+def legacy_exact(u: Column) -> Column:
+    """Lower-cased address without fragment and without one trailing slash; other text trimmed and lower-cased."""
+
+    def web(p: Column) -> Column:
+        path = F.when(p[3] == "", "/").otherwise(p[3])
+        whole = F.concat(p[0], F.lit("://"), p[1], _shown_port(p), path, F.when(p[4] == "", "").otherwise(F.concat(F.lit("?"), p[4])))
+        return let(whole, lambda w: F.when((path != "/") & w.endswith("/"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w))
+
+    return F.lower(let(_strict(u), lambda p: F.coalesce(web(p), trimmed(u), F.lit(""))))
+
+
+def legacy_base(u: Column) -> Column:
+    """Host without ``www.`` and path without one trailing slash."""
+
+    def web(p: Column) -> Column:
+        path = F.when(p[3] == "", "/").otherwise(F.when(F.length(p[3]) > 1, F.regexp_replace(p[3], "/$", "")).otherwise(p[3]))
+        return F.concat(F.regexp_replace(F.lower(p[1]), r"^www\.", ""), _shown_port(p), path)
+
+    return let(_strict(u), lambda p: F.coalesce(web(p), F.lower(trimmed(u)), F.lit("")))
+
+
+def legacy_hostname(u: Column) -> Column:
+    """Lower-cased host of a full http(s) address; '' for everything else."""
+    return let(_strict(u), lambda p: F.coalesce(F.lower(p[1]), F.lit("")))
+
+
+def legacy_base_domain(h: Column) -> Column:
+    return F.lower(base_domain_of(h, LEGACY_SUFFIXES))
+
+
+def norm_host(h: Column) -> Column:
+    """Lower case, final dot and leading ``www.`` dropped; '' for null."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(h, F.lit(""))), r"\.$", ""), r"^www\.", "")
+
+
+def api_base(s: Column) -> Column:
+    """Trailing slashes dropped, one ``/v1`` at the end; null for blank."""
+    t = F.regexp_replace(trimmed(s), "/+$", "")
+    return F.when(t == "", None).when(t.rlike("(?i)/v1$"), F.regexp_replace(t, "/[Vv]1$", "/v1")).otherwise(F.concat(t, F.lit("/v1")))
