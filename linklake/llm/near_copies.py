@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import re
+import time
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -38,7 +39,7 @@ DEPTH, WIDTH = 4, 1 << 18
 #: Candidates below these go; pairs of the required score stay far above (a score of 0.7 needs a title Jaccard of 0.4).
 LEAST_TITLE, LEAST_WEIGHTED = 0.3, 0.25
 
-_FEATURES = "id bigint, cls bigint, bits bigint, t array<int>, u array<int>"
+_FEATURES = "id bigint, cls bigint, t array<int>, u array<int>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,10 +83,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = [title(x) for x in titles.to_pylist()]
         keep = np.array([bool(x) for x in t], dtype=bool)
         u = [address(x) if k else [] for x, k in zip(addresses.to_pylist(), keep)]
-        bits = np.zeros(len(t), np.uint64)
-        n = np.array([len(x) for x in t])
-        np.bitwise_or.at(bits, np.repeat(np.arange(len(t)), n), np.uint64(1) << (np.array([x & 63 for y in t for x in y], np.uint64)))
-        out = pa.RecordBatch.from_arrays([ids, cls, pa.array(bits.view(np.int64)), pa.array(t, pa.list_(pa.int32())), pa.array(u, pa.list_(pa.int32()))], names=["id", "cls", "bits", "t", "u"])
+        out = pa.RecordBatch.from_arrays([ids, cls, pa.array(t, pa.list_(pa.int32())), pa.array(u, pa.list_(pa.int32()))], names=["id", "cls", "t", "u"])
         yield out.filter(pa.array(keep))
 
 
@@ -293,8 +291,10 @@ def _verify(sketch, rows: int):
 
 def _release(spark) -> None:
     """Lets Spark delete the shuffle files of finished phases, whose results stand in the shared folder."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works behind the collector
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def candidate_classes(rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -309,13 +309,14 @@ def candidate_classes(rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFr
     # parts of about 400,000 entries, so that a part stays small whatever the number of rows
     per_band = max(1, round(total / 400_000), -(-2 * parallelism(spark) // BANDS))
     entries = features.select("cls", "t", "u").mapInArrow(_bands(shared, total, per_band), "part int, entries binary")
-    buckets = ws.put(entries.groupBy("part").applyInArrow(_buckets, "a binary, b binary, crossed boolean"))
+    buckets = ws.put(entries.repartition(min(BANDS * per_band, 20_000), "part").groupBy("part").applyInArrow(_buckets, "a binary, b binary, crossed boolean"))
     del entries
     _release(spark)
     apart = buckets.where("not crossed").mapInArrow(_expand, "a bigint, b bigint")
     crossed = buckets.where("crossed").repartition(4 * parallelism(spark)).mapInArrow(_expand, "a bigint, b bigint")
     # first by 64 bits of title tokens a class, so that only few candidates fetch whole features
-    bits = features.groupBy("cls").agg(F.bit_or("bits").alias("bits"))
+    mark = F.aggregate("t", F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)))))
+    bits = features.groupBy("cls").agg(F.bit_or(mark).alias("bits"))
     sketched = lambda c: bits.select(F.col("cls").alias(c), F.col("bits").alias(f"s{c}"))
     overlap = F.bit_count(F.col("sa").bitwiseAND(F.col("sb"))) >= LEAST_TITLE * F.bit_count(F.col("sa").bitwiseOR(F.col("sb")))
     likely = ws.put(apart.union(crossed).join(sketched("a"), "a").join(sketched("b"), "b").where(overlap).select("a", "b").distinct())
