@@ -75,3 +75,37 @@ def _per_partition(walk):
             yield from walk(iter(held))
 
     return run
+
+
+def number_in_group(df: DataFrame, group: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """``df`` with the place (from 0) of each row in its group; as a row number, but a group of any size spreads over
+    range partitions. Only one row a partition reaches the driver: how many rows its first and last group have there.
+    Ties in ``order`` must be broken by its last column."""
+    from linklake.runtime import Workspace
+
+    keys = [F.col(c).asc_nulls_first() for c in group + order]
+    ranged = df.withColumn("_g", F.to_json(F.struct(*group), {"ignoreNullFields": "false"})).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
+    ranged = Workspace(df.sparkSession, "numbered").put(ranged)
+    counts = ranged.groupBy("_p", "_g").agg(F.count("*").alias("n"), F.min(F.struct(*group)).alias("s"))
+    ends = counts.groupBy("_p").agg(F.min(F.struct("s", "_g", "n")).alias("a"), F.max(F.struct("s", "_g", "n")).alias("z"), F.count("*").alias("k"))
+    start, last, carried = {}, None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["_p"]):
+        start[r["_p"]] = carried if r["a"]["_g"] == last else 0
+        carried = r["z"]["n"] + (start[r["_p"]] if r["k"] == 1 else 0)
+        last = r["z"]["_g"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            out = []
+            for g, p in zip(t.column("_g").to_pylist(), t.column("_p").to_pylist()):
+                if (g, p) != at:
+                    n = start[p] if at is None or at[1] != p else 0
+                    at = (g, p)
+                out.append(n)
+                n += 1
+            yield from t.drop_columns(["_g", "_p"]).append_column(name, pa.array(out, pa.int64())).combine_chunks().to_batches()
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", {name} bigint"
+    return ranged.repartition(max(1, len(start)), "_p").sortWithinPartitions("_p", *keys).mapInArrow(walk, schema)

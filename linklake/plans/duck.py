@@ -98,8 +98,14 @@ def jaccard(a: str, b: str) -> str:
 def grams(s: str) -> str:
     """Numbered bigrams as text, so that a plain intersection counts repeats."""
     plain = f"list_sort(list_transform(range(1, length({s})), lambda i: substring({s}, i, 2)))"
-    return f"list_transform({plain}, lambda g, i: g || '|' || (i - list_position({plain}, g)))"
+    # bound once as a list of one list, or it would be sorted again for every gram
+    return f"list_transform([{plain}], lambda o: list_transform(o, lambda g, i: g || '|' || (i - list_position(o, g))))[1]"
 
 
 def dice_of(s: str, t: str) -> str:
     return f"(case when length({s}) < 2 or length({t}) < 2 then (case when {s} = {t} and {s} <> '' then 1.0 else 0.0 end) else 2.0 * len(list_intersect({grams(s)}, {grams(t)})) / (length({s}) + length({t}) - 2) end)"
+
+
+def dice_sets(s: str, t: str, gs: str, gt: str) -> str:
+    """As ``dice_of``, with the numbered bigrams of both texts at hand."""
+    return f"(case when length({s}) < 2 or length({t}) < 2 then (case when {s} = {t} and {s} <> '' then 1.0 else 0.0 end) else 2.0 * len(list_intersect({gs}, {gt})) / (length({s}) + length({t}) - 2) end)"
