@@ -81,9 +81,11 @@ def candidate_pairs(rows: DataFrame, opts: Options = Options()) -> DataFrame:  #
 
 def scored_pairs(rows: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa: B008
     """(domain, a, b, score) of the candidate pairs whose canonical addresses differ."""
-    side = lambda c: rows.select(F.col("id").alias(c), F.col("title").alias(f"t{c}"), F.col("norm").alias(f"n{c}"))
+    usable = buckets(rows, opts).where("not skipped").select("domain")
+    features = Workspace(rows.sparkSession, "features").put(rows.join(usable, "domain", "left_semi").select("id", "norm", text.score_features(F.col("title"), F.col("norm")).alias("f")))
+    side = lambda c: features.select(F.col("id").alias(c), F.col("norm").alias(f"n{c}"), F.col("f").alias(f"f{c}"))
     pairs = candidate_pairs(rows, opts).select("domain", "a", "b").join(side("a"), "a").join(side("b"), "b").where("na <> nb")
-    return pairs.select("domain", "a", "b", text.pair_score(F.col("ta"), F.col("tb"), F.col("na"), F.col("nb")).alias("score"))
+    return pairs.select("domain", "a", "b", text.score_of(F.col("fa"), F.col("fb")).alias("score"))
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
