@@ -18,8 +18,9 @@ HISTOGRAM = "aeinorst0123"
 
 
 def fold(s: Column) -> Column:
-    """Letters and digits only, without case (upper first, so that ß and SS agree); null as ''."""
-    return F.regexp_replace(F.lower(F.upper(F.coalesce(s, F.lit("")))), r"[^\p{L}\p{N}]+", "")
+    """Letters and digits only, without case (ß is ss, its upper case); null as ''."""
+    low = F.replace(F.lower(F.upper(F.coalesce(s, F.lit("")))), F.lit("ß"), F.lit("ss"))
+    return F.regexp_replace(low, r"[^\p{L}\p{N}]+", "")
 
 
 def unescaped(s: Column) -> Column:
