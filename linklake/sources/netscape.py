@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linklake.functions import text
+from linklake.functions.urls import trimmed
 
 RECORD = "file string, ord bigint, title string, url string, path array<string>, add_date double, icon string"
 # comment, CDATA, tag (quotes may hold >), text; what is left unclosed at the end matches nothing and ends the scan
@@ -155,5 +156,5 @@ def envelope(data: Column, exported_at: str, schema: str = "linklake.backup", ve
 
 def export_name(raw: Column, extension: str, fallback: str) -> Column:
     """A file name without characters illegal in paths and with the right extension."""
-    n = F.trim(F.regexp_replace(F.coalesce(F.nullif(F.trim(raw), F.lit("")), F.lit(fallback)), r'[\\/:*?"<>|]+', "-"))
+    n = trimmed(F.regexp_replace(F.coalesce(F.nullif(trimmed(raw), F.lit("")), F.lit(fallback)), r'[\\/:*?"<>|]+', "-"))
     return F.when(F.lower(n).endswith(extension), n).otherwise(F.concat(F.regexp_replace(n, r"(?i)\.(json|html)$", ""), F.lit(extension)))
