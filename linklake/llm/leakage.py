@@ -276,7 +276,7 @@ def _search(shared):
                 counts = np.diff(np.append(starts, len(key)))
                 lengths = np.array([len(q) for q in sequences])
                 enough = counts * size >= COVER * lengths[item[starts]]
-                starts, counts = starts[enough], counts[enough]
+                starts = starts[enough]
                 # first the rarest terms against the whole document, all its items at once
                 grid, rares = s["rare_grid"][name], s["rare_count"][name]
                 keep = np.zeros(len(starts), bool)
@@ -289,20 +289,18 @@ def _search(shared):
                     here = item[starts[a:z]]
                     keep[a:z] = present[grid[here]].sum(axis=1) >= s["min_answer"] * rares[here]
                     present[doc] = False
-                for f, n in zip(starts[keep].tolist(), counts[keep].tolist()):
+                for f in starts[keep].tolist():
                     d, i = int(row[p[f]]), int(item[f])
                     q, rare = sequences[i], s["rare"][name][i]
-                    first, last = place[p[f]], place[p[f + n - 1]]
                     doc = flat[offsets[d] : offsets[d + 1]]
-                    region = doc[max(0, first - size) : min(last + 2 * size, first + 3 * len(q))]
-                    present[region] = True
+                    present[doc] = True
                     present[0] = False
-                    # both are bounds from above, so nothing that could reach the thresholds is lost
+                    # both are bounds over the whole document, so nothing that could reach the thresholds is lost
                     words, answer = np.count_nonzero(present[q]), np.count_nonzero(present[rare]) / max(1, len(rare))
-                    present[region] = False
+                    present[doc] = False
                     if words >= s["min_lcs"] * len(q) and answer >= s["min_answer"]:
                         entry = best[d, i]
-                        entry[2] = max(entry[2], common_subsequence(q, region) / len(q))
+                        entry[2] = max(entry[2], common_subsequence(q, doc) / len(q))
                         entry[3] = max(entry[3], answer)
             out = [(s["items"][item], docs[d], *map(int, e[:2]), *map(float, e[2:])) for (d, item), e in best.items()]
             if out:

@@ -186,6 +186,16 @@ def test_leaks_against_search(spark):
     assert rows(leakage.find_leaks(df.limit(0), it)) == [] and rows(leakage.find_leaks(df, it.limit(0))) == []
 
 
+def test_paraphrase_behind_an_early_likeness(spark):
+    rng = random.Random(21)
+    q = [f"item{i}" for i in range(48)]
+    text = [x if i % 8 != 7 else "edited" for i, x in enumerate(q)]
+    doc = q[:7] + ["stock"] + [f"other{rng.randrange(900)}" for _ in range(400)] + text
+    docs = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(doc[:400]))] + [(10 + i, " ".join(f"other{rng.randrange(900)}" for _ in range(60))) for i in range(20)], "doc_id bigint, text string")
+    got = leakage.find_leaks(docs, spark.createDataFrame([(5, " ".join(q))], "item_id bigint, text string"))
+    assert [tuple(r) for r in got.select("item_id", "doc_id", "kind", F.round("lcs", 3)).collect()] == [(5, 1, "paraphrase", 0.875)]
+
+
 def test_common_subsequence():
     import numpy as np
 
