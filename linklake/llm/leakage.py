@@ -7,9 +7,12 @@
   passage only lowers its chance to be a candidate). A distributed randomised SVD finds the latent space: every split adds
   A'(A Omega) of its passages, the blocks are summed in the cluster, and a Nystrom step on the small result gives the basis.
 * Windows are held in cells around centroids. A passage looks into its nearest cells; pairs of a cosine of ``COSINE`` or
-  more are candidates. Equal terms give equal vectors, so a literal copy can't be missed by the projection.
-* Candidates are checked on the full term sequences: the longest common run, and for paraphrases the longest common
-  subsequence and the share of the item's rarest terms (its answer) that the passage holds.
+  more are candidates for copies. Equal terms give equal vectors, so a literal copy can't be missed by the projection.
+  They are checked on the full term sequences for the longest common run.
+* Paraphrases don't go through the latent space: edits spread evenly over an item can leave no passage near it, so no
+  cosine follows from the share of the subsequence. The rarest terms of the items (their answers) are held as postings,
+  which give every pair of a document and an item whose share of them suffices; then come the item's words that the
+  document holds, as a bound, and the longest common subsequence. No step drops a pair that reaches the thresholds.
 
 Items are the stated query set; they are broadcast in blocks of at most ``ITEMS`` items.
 """
@@ -30,11 +33,9 @@ from linklake.runtime import Workspace
 WORDS, HAN = 8, 12
 #: Width of the random range and of the latent space.
 RANGE, LATENT = 72, 64
-COSINE, PROBES = 0.9, 2
+COSINE, PROBES = 0.999, 2
 #: Least share of a passage's terms that the items' vocabulary must hold.
 KNOWN = 0.6
-#: Least share of an item's length that a document's passages near it must add up to, for the paraphrase check.
-COVER = 0.6
 #: Documents searched in one go, which bounds a task's memory.
 SLICE = 1000
 #: Items in one broadcast block.
@@ -187,9 +188,9 @@ class Windows:
         w.__dict__ |= state
         return w
 
-    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index into x, window, cosine) of all pairs of ``COSINE`` or more in the ``PROBES`` nearest cells."""
-        left, right, cosines = [], [], []
+    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into x, window) of all pairs of ``COSINE`` or more in the ``PROBES`` nearest cells."""
+        left, right = [], []
         near = x @ self.centroids.T
         probes = min(PROBES, near.shape[1])
         cells = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
@@ -197,12 +198,10 @@ class Windows:
             q = np.flatnonzero((cells == c).any(axis=1))
             s, e = self.starts[c], self.starts[c + 1]
             for i in range(0, len(q), 20_000):
-                cosine = x[q[i : i + 20_000]] @ self.vectors[s:e].T
-                hit, window = np.nonzero(cosine >= COSINE)
+                hit, window = np.nonzero(x[q[i : i + 20_000]] @ self.vectors[s:e].T >= COSINE)
                 left.append(q[i : i + 20_000][hit])
                 right.append(self.order[s + window])
-                cosines.append(cosine[hit, window])
-        return (np.concatenate(left), np.concatenate(right), np.concatenate(cosines)) if left else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
 def common_run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
@@ -230,6 +229,18 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def held_rare(flat: np.ndarray, offsets: np.ndarray, starts: np.ndarray, posted: np.ndarray, n: int) -> np.ndarray:
+    """Number of the rarest terms of each of n items that each row of a list column holds; postings by term."""
+    d = len(offsets) - 1
+    row, term = np.repeat(np.arange(d), np.diff(offsets)), flat[offsets[0] : offsets[-1]]
+    rare = starts[term + 1] > starts[term]
+    each = np.unique(row[rare] * len(starts) + term[rare])
+    row, term = each // len(starts), each % len(starts)
+    counts = starts[term + 1] - starts[term]
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts[term], counts)
+    return np.bincount(np.repeat(row, counts) * n + posted[at], minlength=d * n).reshape(d, n)
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
@@ -239,69 +250,41 @@ def _search(shared):
             docs = b.column(0).to_pylist()
             best: dict[tuple[int, int], list] = defaultdict(lambda: [0, 0, 0.0, 0.0])
             for name, size, (terms, row, place, flat, offsets) in _both(b):
-                windows = Windows.of(s[name])
-                if not len(windows.item) or not len(terms):
+                windows, sequences, slot = Windows.of(s[name]), s["sequences"][name], 0 if name == "w" else 1
+                if not len(windows.item):
                     continue
                 likely = np.flatnonzero((terms > 0).sum(axis=1) >= KNOWN * size)
-                found = [[], [], []]
                 for i in range(0, len(likely), 50_000):
                     part = likely[i : i + 50_000]
-                    q, w, cosine = windows.search(_unit(projection[terms[part]].sum(axis=1)))
-                    for held, x in zip(found, (part[q], w, cosine)):
-                        held.append(x)
-                if not found[0]:
-                    continue
-                passage, window, cosine = map(np.concatenate, found)
-                same = np.flatnonzero(cosine > 0.999)
-                same = same[(terms[passage[same]] == windows.terms[window[same]]).all(axis=1)]
-                slot, sequences = (0, s["sequences"][name]) if name == "w" else (1, s["sequences"][name])
-                reached: dict[tuple[int, int, int], int] = {}
-                for p, w in sorted(zip(passage[same].tolist(), window[same].tolist())):
-                    d, item, i, j = row[p], windows.item[w], place[p], windows.place[w]
-                    key = (d, item, i - j)
-                    if i < reached.get(key, -1):
-                        continue
-                    doc = flat[offsets[d] : offsets[d + 1]]
-                    start, n = common_run(doc, sequences[item], i, j)
-                    reached[key] = start + n
-                    entry = best[d, item]
-                    entry[slot] = max(entry[slot], n)
-                # paraphrases: several passages of one document near the same item
-                n_all = len(terms)
-                each = np.sort((row[passage] * len(sequences) + windows.item[window]) * n_all + passage)
-                each = each[np.diff(each, prepend=-1) != 0]  # each passage once for an item
-                key, p = each // n_all, each % n_all
-                item = key % len(sequences)
-                starts = np.flatnonzero(np.diff(key, prepend=-1))
-                counts = np.diff(np.append(starts, len(key)))
+                    q, window = windows.search(_unit(projection[terms[part]].sum(axis=1)))
+                    passage = part[q]
+                    same = (terms[passage] == windows.terms[window]).all(axis=1)
+                    reached: dict[tuple[int, int, int], int] = {}
+                    for p, w in sorted(zip(passage[same].tolist(), window[same].tolist())):
+                        d, item, i, j = row[p], windows.item[w], place[p], windows.place[w]
+                        key = (d, item, i - j)
+                        if i < reached.get(key, -1):
+                            continue
+                        doc = flat[offsets[d] : offsets[d + 1]]
+                        start, n = common_run(doc, sequences[item], i, j)
+                        reached[key] = start + n
+                        entry = best[d, item]
+                        entry[slot] = max(entry[slot], n)
+                # paraphrases: first the rarest terms, then all words of the item against the whole document
                 lengths = np.array([len(q) for q in sequences])
-                enough = counts * size >= COVER * lengths[item[starts]]
-                starts = starts[enough]
-                # first the rarest terms against the whole document, all its items at once
-                grid, rares = s["rare_grid"][name], s["rare_count"][name]
-                keep = np.zeros(len(starts), bool)
-                docs_at = np.flatnonzero(np.diff(row[p[starts]], prepend=-1)) if len(starts) else starts
-                for a, z in zip(docs_at.tolist(), [*docs_at[1:].tolist(), len(starts)]):
-                    d = row[p[starts[a]]]
-                    doc = flat[offsets[d] : offsets[d + 1]]
-                    present[doc] = True
-                    present[0] = False
-                    here = item[starts[a:z]]
-                    keep[a:z] = present[grid[here]].sum(axis=1) >= s["min_answer"] * rares[here]
-                    present[doc] = False
-                for f in starts[keep].tolist():
-                    d, i = int(row[p[f]]), int(item[f])
-                    q, rare = sequences[i], s["rare"][name][i]
+                held = held_rare(flat, offsets, *s["postings"][name], len(sequences))
+                enough = (held / s["rare_count"][name] >= s["min_answer"]) & (lengths >= size)
+                for d in np.flatnonzero(enough.any(axis=1)).tolist():
                     doc = flat[offsets[d] : offsets[d + 1]]
                     present[doc] = True
                     present[0] = False
-                    # both are bounds over the whole document, so nothing that could reach the thresholds is lost
-                    words, answer = np.count_nonzero(present[q]), np.count_nonzero(present[rare]) / max(1, len(rare))
+                    for i in np.flatnonzero(enough[d]).tolist():
+                        q = sequences[i]
+                        if np.count_nonzero(present[q]) / len(q) >= s["min_lcs"]:
+                            entry = best[d, i]
+                            lcs, answer = common_subsequence(q, doc[present[doc]]) / len(q), held[d, i] / s["rare_count"][name][i]
+                            entry[2:] = max(entry[2:], [lcs, answer], key=lambda x: (x[0] >= s["min_lcs"], x))
                     present[doc] = False
-                    if words >= s["min_lcs"] * len(q) and answer >= s["min_answer"]:
-                        entry = best[d, i]
-                        entry[2] = max(entry[2], common_subsequence(q, doc) / len(q))
-                        entry[3] = max(entry[3], answer)
             out = [(s["items"][item], docs[d], *map(int, e[:2]), *map(float, e[2:])) for (d, item), e in best.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in ([x[0] for x in out], [x[1] for x in out], pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.int32()), [x[4] for x in out], [x[5] for x in out])], names=["item_id", "doc_id", "run", "han_run", "lcs", "answer"])
@@ -314,7 +297,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 15, min_
 
     kind is ``copy`` where the longest shared run has ``min_words`` words or ``min_han`` Han characters, else
     ``paraphrase`` where the shared subsequence covers ``min_lcs`` of the item and ``min_answer`` of its rarest terms are
-    there. The literal search is complete for runs of 15 words or 23 Han characters and more. Null and blank texts, on
+    there (in words or in Han characters, each on its own, for items of at least ``WORDS`` or ``HAN`` of them). The literal
+    search is complete for runs of 15 words or 23 Han characters and more, the search for paraphrases always. Null and blank texts, on
     either side, match nothing; repeated rows give one row; rows with a null id are left out; empty tables give no rows.
     """
     spark = documents.sparkSession
@@ -331,26 +315,35 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 15, min_
     return both.withColumn("kind", kind).where("kind is not null")
 
 
+def _postings(rare: list[np.ndarray], v: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets by term and the items that hold each term among their rarest."""
+    terms = np.concatenate(rare).astype(np.int64)
+    items = np.repeat(np.arange(len(rare)), [len(x) for x in rare])
+    return np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=v))]), items[np.argsort(terms, kind="stable")]
+
+
 def _leaks_of(documents: DataFrame, items: list, ws: Workspace, min_lcs: float, min_answer: float) -> DataFrame:
     spark = documents.sparkSession
     sc = spark.sparkContext
+    if not items:
+        return spark.createDataFrame([], _FOUND)
     texts = [streams(r["text"]) for r in items]
     known = {t: i + 1 for i, t in enumerate(sorted({x for w, h in texts for x in (*w, *h)}))}
     sequences = {"w": [np.array([known[x] for x in w], np.int32) for w, _ in texts], "h": [np.array([known[x] for x in h], np.int32) for _, h in texts]}
     encoded = ws.put(documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(_encode(sc.broadcast(known)), _ENCODED))
     v = len(known) + 1
     n = _summed(encoded.mapInArrow(_frequencies(v), "chunk int, part binary"), 1)[:, 0]
-    if not len(n):
-        return spark.createDataFrame([], _FOUND)
+    if not len(n):  # no text is as long as a passage
+        n = np.zeros(v)
     idf = np.log1p(n[0] / np.maximum(n, 1))
     idf[0] = 0
     omega = np.random.default_rng(11).standard_normal((v, min(RANGE, v)))
     y = _summed(encoded.mapInArrow(_range(sc.broadcast(idf), sc.broadcast(omega)), "chunk int, part binary"), omega.shape[1])
     if not len(y):
-        return spark.createDataFrame([], _FOUND)
+        y = np.zeros(omega.shape)
     projection = (idf[:, None] * latent_basis(y, omega, LATENT)).astype(np.float32)
     rare = {k: [np.unique(q[np.argsort(-idf[q], kind="stable")[: max(1, len(q) // 8)]]) if len(q) else q for q in v] for k, v in sequences.items()}
-    grids = {k: np.array([np.pad(x, (0, max(map(len, v), default=0) - len(x))) for x in v], np.int32) for k, v in rare.items()}
+    postings = {k: _postings(x, v) for k, x in rare.items()}
     rare_count = {k: np.array([max(1, len(x)) for x in v]) for k, v in rare.items()}
-    shared = sc.broadcast({"projection": projection, "rare": rare, "rare_grid": grids, "rare_count": rare_count, "min_lcs": min_lcs, "min_answer": min_answer, "items": [r["item_id"] for r in items], "sequences": sequences} | {k: vars(Windows(sequences[k], size, projection)) for k, size in (("w", WORDS), ("h", HAN))})
+    shared = sc.broadcast({"projection": projection, "postings": postings, "rare_count": rare_count, "min_lcs": min_lcs, "min_answer": min_answer, "items": [r["item_id"] for r in items], "sequences": sequences} | {k: vars(Windows(sequences[k], size, projection)) for k, size in (("w", WORDS), ("h", HAN))})
     return encoded.mapInArrow(_search(shared), _FOUND)

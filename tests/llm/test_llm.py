@@ -196,6 +196,44 @@ def test_paraphrase_behind_an_early_likeness(spark):
     assert [tuple(r) for r in got.select("item_id", "doc_id", "kind", F.round("lcs", 3)).collect()] == [(5, 1, "paraphrase", 0.875)]
 
 
+def test_paraphrases_against_brute_force(spark):
+    """Edits spread evenly or at random: every pair that reaches the thresholds on its texts, and no other."""
+    import math
+
+    rng = random.Random(17)
+    vocab, items = [f"w{i}" for i in range(400)], {}
+    for i in range(12):
+        items[i] = [rng.choice(vocab) for _ in range(rng.choice([8, 24, 40, 64]))]
+    docs = {}
+    for d in range(120):
+        q = items[d % 12]
+        step, rate = rng.choice([3, 4, 5]), rng.uniform(0.05, 0.4)
+        body = [x if (k % step if d % 2 else rng.random() > rate) else f"e{rng.randrange(50)}" for k, x in enumerate(q)]
+        pad = [[rng.choice(vocab) for _ in range(rng.choice([0, 3, 90]))] for _ in range(2)]
+        docs[d] = pad[0] + body + pad[1]
+    docs[500] = items[0][:2] + items[0][3:]
+    passages = [set(t[k : k + 8]) for t in docs.values() for k in range(0, len(t) - 7, 8)]
+    idf = {x: math.log1p(len(passages) / max(1, sum(x in p for p in passages))) for q in items.values() for x in q}
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    shares = {(i, d): lcs(q, t) / len(q) for i, q in items.items() for d, t in docs.items()}
+    rare = {i: set(sorted(q, key=lambda x: -idf[x])[: max(1, len(q) // 8)]) for i, q in items.items()}
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id bigint, text string")
+    it = spark.createDataFrame([(i, " ".join(q)) for i, q in items.items()], "item_id bigint, text string")
+    for least in (0.5, 0.0):
+        want = {(i, d) for (i, d), x in shares.items() if x >= 0.7 and len(rare[i] & set(docs[d])) >= least * len(rare[i])}
+        got = leakage.find_leaks(df, it, min_words=10**6, min_answer=least).where("kind = 'paraphrase'")
+        assert len(want) > 40 and set(rows(got.select("item_id", "doc_id"))) == want
+
+
 def test_common_subsequence():
     import numpy as np
 
