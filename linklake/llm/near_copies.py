@@ -6,8 +6,9 @@
    rows share a sample is their weighted Jaccard similarity. Samples are hashed band by band.
 4. Band hashes travel in packed arrays (12 bytes each) with the key of the row's set of copies, so copies of one page
    count once in a bucket however many there are. Rows of different sets that share a bucket are candidates.
-5. Candidates are verified by title Jaccard and weighted Jaccard of one representative each, then expanded to rows and
-   scored exactly on their own texts.
+5. Candidates are verified by title Jaccard and weighted Jaccard: copies share letters, not tokens, so a set has one
+   representative for each distinct token set, and any two of them may pass. Then they are expanded to rows and scored
+   exactly on their own texts.
 
 A bucket is never expanded in one place: beyond ``BLOCK`` members it is cut into pairs of blocks that are spread over
 all tasks. Nothing is capped.
@@ -314,9 +315,9 @@ def candidate_classes(rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFr
     _release(spark)
     apart = buckets.where("not crossed").mapInArrow(_expand, "a bigint, b bigint")
     crossed = buckets.where("crossed").repartition(4 * parallelism(spark)).mapInArrow(_expand, "a bigint, b bigint")
-    # first by 64 bits of title tokens a class, so that only few candidates fetch whole features
+    # first by 64 bits of each distinct token set of a class, so that only few candidates fetch whole features
     mark = F.aggregate("t", F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63)))))
-    bits = features.groupBy("cls").agg(F.bit_or(mark).alias("bits"))
+    bits = features.select("cls", mark.alias("bits")).distinct()
     sketched = lambda c: bits.select(F.col("cls").alias(c), F.col("bits").alias(f"s{c}"))
     overlap = F.bit_count(F.col("sa").bitwiseAND(F.col("sb"))) >= LEAST_TITLE * F.bit_count(F.col("sa").bitwiseOR(F.col("sb")))
     likely = ws.put(apart.union(crossed).join(sketched("a"), "a").join(sketched("b"), "b").where(overlap).select("a", "b").distinct())
@@ -324,11 +325,11 @@ def candidate_classes(rows: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFr
     del apart, crossed, bits
     _release(spark)
     hit = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
-    one = features.join(hit, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("id", "t", "u")).alias("f")).select("cls", "f.t", "f.u")
-    side = lambda c: one.select(F.col("cls").alias(c), F.col("t").alias(f"t{c}"), F.col("u").alias(f"u{c}"))
+    each = features.join(hit, "cls", "left_semi").select("cls", F.sort_array("t").alias("t"), F.sort_array("u").alias("u")).distinct()
+    side = lambda c: each.select(F.col("cls").alias(c), F.col("t").alias(f"t{c}"), F.col("u").alias(f"u{c}"))
     alike = likely.join(side("a"), "a").join(side("b"), "b").where(text.jaccard(F.col("ta"), F.col("tb")) >= LEAST_TITLE)
-    verified = ws.put(alike.select("a", "b", F.concat("ta", "ua").alias("fa"), F.concat("tb", "ub").alias("fb")).mapInArrow(_verify(shared, total), "a bigint, b bigint"))
-    del hit, one, alike
+    verified = ws.put(alike.select("a", "b", F.concat("ta", "ua").alias("fa"), F.concat("tb", "ub").alias("fb")).mapInArrow(_verify(shared, total), "a bigint, b bigint").distinct())
+    del hit, each, alike
     _release(spark)
     return verified, features
 

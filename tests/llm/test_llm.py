@@ -112,6 +112,16 @@ def test_near_pairs_against_brute_force(spark):
     assert rows(near_copies.near_pairs(df.limit(0))) == []
 
 
+def test_near_pairs_of_a_set_with_several_spellings(spark):
+    data = []
+    for k, (a, b) in enumerate([("Old", "Town"), ("New", "Harbour"), ("Grand", "Castle"), ("Royal", "Garden"), ("Green", "Valley"), ("North", "Station")]):
+        u = f"https://guides.example/{a.lower()}/{b.lower()}"
+        data += [(10 * k, f"{a}-{b}-Museum-Guide", u), (10 * k + 1, f"{a} {b} Museum Guide", u), (10 * k + 2, f"{a} {b} Museum Guides", u)]
+        data += [(10 * k + 3, f"{a}{b}_Museum.Guide", u)]
+    got = rows(near_copies.near_pairs(marks(spark, data)))
+    assert got == [(10 * k + 1, 10 * k + 2) for k in range(6)]
+
+
 def test_packed_hashes_and_large_buckets():
     import numpy as np
     import pyarrow as pa
