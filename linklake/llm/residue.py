@@ -1,9 +1,9 @@
 """Texts that are nothing but template residue: unfilled placeholders, filler, error pages, notices that scripts are needed.
 
 A text is judged sentence by sentence. Placeholders are found by one grammar for each kind of delimiter and count only
-where they are dense, so that a sentence that explains a placeholder stays content; code (fenced or in backticks) is
-content too. Filler is found by its word stock, by keyboard runs and by repetition. Error pages and notices are whole
-sentences of a known form, so that a sentence which merely mentions one doesn't match. Titles, menus and footers (short
+where they are dense, so that a sentence that explains a placeholder stays content; fenced code is content
+too, and code in backticks counts against the density of its sentence. Filler is found by its word stock, by keyboard runs and by repetition. Error pages and notices are whole
+sentences of a known form (status words, or a page or site that fails), so that a sentence which merely mentions one doesn't match. Titles, menus and footers (short
 lines without the shape of a sentence) count neither way. A text is residue if it has residue and no content.
 """
 
@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 _NAME = r"[^\W\d][\w.\-]*"
 #: One grammar for each delimiter.
 GRAMMARS = [
-    r"\{\{[^{}\n]{1,60}\}\}",
-    r"\{%[^%\n]{1,80}%\}",
-    r"<%[=\-]?[^%\n]{1,60}%>",
-    r"\$\{[^{}\n]{1,60}\}",
-    r"#\{[^{}\n]{1,60}\}",
+    r"\{\{(?:[^{}\n]|\{[^{}\n]*\})+\}\}",
+    r"\{%(?:[^%\n]|%(?!\}))+%\}",
+    r"<%(?:[^%\n]|%(?!>))+%>",
+    r"\$\{[^{}\n]+\}",
+    r"#\{[^{}\n]+\}",
     rf"\{{\s*{_NAME}\s*\}}",
     r"\[\[[^\[\]\n]{1,60}\]\]",
     rf"\[\s*{_NAME}(?:[ ]{_NAME}){{0,3}}\s*\]",
@@ -51,8 +51,21 @@ _LOREM = re.compile(r"(?:" + "|".join(sorted(set(LOREM.split()), key=len, revers
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 
 _JS = r"(?:java ?script|js|scripts?|scripting|script support|skripte?|des scripts|脚本)"
-#: Sentences of error pages, as whole sentences.
+# Parts of failure sentences: what fails, how, and what may follow.
+_THING = r"(?:account|profile|channel|user|blog|shop|store|site|web ?site|web ?page|page|domain|host|server|gateway|service|system|application|app|resource|content|document|file|article|post|image|video|link|url|address|request|connection|database|session|listing|item|product)"
+_SOFT = r"(?:(?:currently|temporarily|permanently|no longer|not|now|already|unfortunately|still|never|been|be) )*"
+_FAILED = (
+    r"(?:suspended|disabled|deactivated|closed|terminated|blocked|banned|locked|restricted|removed|deleted|moved|archived|withdrawn|taken down|found|available|unavailable|reachable|unreachable|accessible|inaccessible|reached|loaded|displayed|shown|opened|processed|completed|fulfilled|handled|established|served|located|responding|offline|down|expired|refused|rejected|denied|lost|reset|timed out|forbidden|gone|overloaded|parked|under maintenance|down for maintenance|undergoing (?:scheduled )?maintenance)"
+)
+_LATER = r"(?:,? (?:for now|right now|at (?:this|the) (?:time|moment)|by (?:the|its) (?:owner|author|administrator|server)|on this server|due to (?:[\w\-]+ ){0,3}[\w\-]+|for violating (?:[\w\-]+ ){0,4}[\w\-]+|(?:and|or) .{0,40}))?"
+_BROKEN = rf"{_SOFT}{_FAILED}(?:,? (?:or|and) (?:(?:is|has|was|may) )?{_SOFT}{_FAILED})*{_LATER}"
+#: Sentences of error pages, as whole sentences. "Is available" and the like are no failure, hence the negation.
 ERRORS = [
+    r"(?:(?:http|https|error|status|fehler|\d{3})[\s:\-–—]*)*(?:bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|proxy authentication required|request time-?out|conflict|gone|(?:payload|content|uri|request entity) too (?:large|long)|unsupported media type|too many requests|(?:internal )?server error|internal error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|(?:connection|request|operation) (?:timed out|time-?out|refused|reset|closed|failed)|unavailable for legal reasons)(?: error)?",
+    rf"(?:(?:we(?:'|’)re |we are )?sorry,? (?:but )?|unfortunately,? |oops\W+)?(?=(?:this|the|your|that) (?:[\w\-]+ ){{0,4}}?{_THING}\b.*(?:\bnot\b|n['’]t\b|cannot|no longer|never|suspended|disabled|deactivated|closed|terminated|blocked|banned|locked|restricted|removed|deleted|moved|archived|withdrawn|taken|unavailable|unreachable|inaccessible|offline|down|expired|refused|rejected|denied|lost|reset|timed|forbidden|gone|overloaded|parked|maintenance))(?:this|the|your|that) (?:[\w\-]+ ){{0,4}}?{_THING}(?: (?:you (?:requested|are looking for|were looking for|asked for|tried to (?:open|visit|reach))|for this (?:site|page|domain)))? (?:has|have|is|was|were|are|could|can|may|might|isn['’]t|wasn['’]t|hasn['’]t|couldn['’]t|can['’]t|cannot|did|does) ?{_BROKEN}",
+    rf"(?:(?:we(?:'|’)re |we are )?sorry,? (?:but )?|unfortunately,? )?(?:we|the server) (?:could not|couldn['’]t|cannot|can['’]t|can not|are unable to|is unable to|were unable to|failed to) (?:find|load|display|show|open|reach|process|complete|handle|fulfil|fulfill|connect to|access|locate) (?:this|the|your|that) (?:[\w\-]+ ){{0,3}}?{_THING}(?: (?:you (?:requested|are looking for|were looking for|asked for)))?{_LATER}",
+    rf"(?:failed|unable) to (?:load|open|display|connect to|reach|fetch|find|process) (?:(?:this|the|your|a) )?(?:[\w\-]+ ){{0,3}}?{_THING}",
+    rf"no such (?:[\w\-]+ )?{_THING}|{_THING} (?:suspended|disabled|deleted|removed|expired|unavailable|not (?:found|available)|offline|under maintenance)",
     r"(?:(?:http|error|fehler|erreur|错误)\s*)?[1-5]\d\d(?:\s*[:\-–—]?\s*(?:[a-z]+ ?){0,4})?",
     r"err_[a-z0-9_]+",
     r"(?:reference|ref|error code|request id)[ :#]+\w+",
@@ -105,6 +118,7 @@ FILLER = [
     r"this is sample (?:copy|text)|replace before going live|dummy (?:paragraph|text).*|placeholder(?: text)?(?: for .*)?|稍后替换|sample text.*",
     r"(?:link text|lien|linktext) \d+(?: (?:link text|lien|linktext) \d+)*",
 ]
+_CODE = re.compile(r"`+([^`]+)`+")
 _KNOWN = re.compile(r"\W*(?:" + "|".join(f"(?:{p})" for p in (*ERRORS, *NOTICES, *FILLER)) + r")\W*", re.I)
 _MENU = re.compile(r"[·|/>»•]")
 _END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
@@ -128,16 +142,18 @@ def _filler(words: list[str]) -> bool:
 
 def judge(sentence: str) -> str:
     """``residue``, ``content`` or ``label`` (neither: no words, or a line of a title, menu or footer)."""
-    found = _PLACEHOLDER.findall(sentence)
-    bare = _PLACEHOLDER.sub(" ", sentence) if found else sentence
+    code = sum(len(_UNIT.findall(c)) or 1 for c in _CODE.findall(sentence)) if "`" in sentence else 0
+    plain = _CODE.sub(" ", sentence) if code else sentence
+    found = _PLACEHOLDER.findall(plain)
+    bare = _PLACEHOLDER.sub(" ", plain) if found else plain
     words = _UNIT.findall(bare)
     nothing = len(_NOTHING.findall(bare))
     marks = len(found) + nothing
-    if marks and marks >= DENSITY * (len(words) - nothing + marks):
+    if marks and marks >= DENSITY * (len(words) + code - nothing + marks):
         return "residue"
-    if _filler(words) or _KNOWN.fullmatch(sentence.strip()):
+    if code <= DENSITY * (len(words) + code) and _filler(words) or _KNOWN.fullmatch(sentence.replace("`", "").strip()):
         return "residue"
-    return "content" if words else "label"
+    return "content" if words or code else "label"
 
 
 def _label(line: str) -> bool:
@@ -145,6 +161,8 @@ def _label(line: str) -> bool:
     if line.startswith("#"):
         return True
     words = _UNIT.findall(line)
+    if _CODE.search(line):
+        return False
     return "://" not in line and not _STOP.search(line) and len(words) <= 16
 
 
@@ -160,7 +178,7 @@ def is_residue(text: str | None, labels: int = 6) -> bool:
         if line.startswith("```"):
             fenced = not fenced
             continue
-        if fenced or "`" in line:
+        if fenced:
             return False
         if line.startswith("#"):
             lines_apart += 1

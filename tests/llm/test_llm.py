@@ -277,6 +277,23 @@ def test_no_residue(case):
     assert not residue.is_residue(case)
 
 
+@pytest.mark.parametrize("case", [
+    "Internal Server Error", "Service Unavailable", "Bad Gateway", "This account has been suspended.", "The website is temporarily unavailable.\n\nContact", "Sorry, the page you requested could not be found.",
+    "We are unable to process your request at this time.", "The requested URL `/a/b` was not found on this server.", "{{ " + "page.title | default(site.title) | truncate(40) | " * 3 + "upper }}", "404 Not Found `",
+    "This video is no longer available", "Unable to connect to the database", "{% if count % 2 and user.is_member and user.has_permission('read the long page') and page.visible %}",
+])
+def test_residue_of_other_wordings(case):
+    assert residue.is_residue(case)
+
+
+@pytest.mark.parametrize("case", [
+    "The page is available in three languages.", "This site has moved us to think again about folders and how people use them.", "The service is open on Sundays.", "Write `{{title}}` in the pattern", "Service Unavailable\nSet `timeout = 30` in the file",
+    "We found the page that was removed last year and put the link back into its folder.", "The file was opened and the links in it were read.", "Your bookmarks have been imported.", "{{name}} `a b c d e f g h i j k l`",
+])
+def test_no_residue_of_other_wordings(case):
+    assert not residue.is_residue(case)
+
+
 def test_residue_frames(spark):
     df = spark.createDataFrame([(1, "404 Not Found", 1), (2, "A real sentence about links.", 2), (3, None, 3), (None, "404 Not Found", 4), (1, "404 Not Found", 5)], "doc_id bigint, text string, kind int")
     assert rows(residue.find_residue(df)) == [(1,), (1,)] and sorted(r["kind"] for r in residue.without_residue(df).collect()) == [2, 3, 4]
