@@ -122,19 +122,58 @@ def test_near_pairs_of_a_set_with_several_spellings(spark):
     assert got == [(10 * k + 1, 10 * k + 2) for k in range(6)]
 
 
+def test_near_links_keep_copies_together(spark):
+    u = "https://guides.example/old/town"
+    data = [(k, "Old Town Museum Guide", u) for k in range(1, 31)] + [(50 + k, "Old Town Museum Guides", u + "?p=2") for k in range(20)]
+    data += [(90, "OLD town, museum guide", u), (91, "Old Town Museum Guide", "https://other.example/x")]
+    links, members = near_copies.near_links(marks(spark, data))
+    assert rows(links.select("rep_a", "rep_b")) == [(1, 50), (1, 91), (50, 90), (50, 91), (90, 91)]
+    assert rows(members) == sorted([(k, 1) for k in range(1, 31)] + [(50 + k, 50) for k in range(20)] + [(90, 90), (91, 91)])
+    assert near_copies.near_pairs(marks(spark, data)).count() == 31 * 20 + 31 + 20
+    with pytest.raises(ValueError):
+        near_copies.near_links(marks(spark, data), 0.5)
+
+
+def test_dice_against_counting():
+    from collections import Counter
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = ["", "a", "b", "a b", "\U0001f600\U0001f600x", "机器 学习"] + ["".join(rng.choice("aAbc \u3000") for _ in range(rng.randrange(12))) for _ in range(60)]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(300)]
+
+    def plain(s, t):
+        s, t = ("".join(x.lower().split()) for x in (s, t))
+        if len(s) < 2 or len(t) < 2:
+            return float(s == t != "")
+        a, b = (Counter(zip(x, x[1:])) for x in (s, t))
+        return 2 * sum((a & b).values()) / (len(s) + len(t) - 2)
+
+    got = near_copies.dice(*(pa.array([p[k] for p in pairs]) for k in (0, 1)))
+    assert got.tolist() == pytest.approx([plain(*p) for p in pairs])
+
+
+def test_bands_share_one_sample_at_most():
+    lines = [set(b) for b in near_copies.bands().tolist()]
+    assert all(len(b) == near_copies.ROWS for b in lines) and set().union(*lines) == set(range(near_copies.SAMPLES))
+    assert all(len(a & b) <= 1 for i, a in enumerate(lines) for b in lines[:i])
+
+
 def test_packed_hashes_and_large_buckets():
     import numpy as np
     import pyarrow as pa
 
-    h = np.sort(np.random.default_rng(1).integers(0, 1 << 32, 1000, dtype=np.uint32))
-    c = np.arange(1000, dtype=np.int64) - 500
+    h, c = np.array([0, 5, 5, 1 << 31], np.uint32), np.array([1, (1 << 40) - 1, 0, 7], np.int64)
     x, y = near_copies._unpack(near_copies._pack(h, c))
-    assert (x == h).all() and (y == c).all()
+    assert x.tolist() == h.tolist() and y.tolist() == c.tolist()
     n = near_copies.BLOCK * 2 + 5
     t = pa.table({"entries": [near_copies._pack(np.zeros(n, np.uint32), np.arange(n, dtype=np.int64))]})
-    out = near_copies._buckets((pa.scalar(0),), t)
-    pairs = {(a, b) for r in near_copies._expand(iter(out.to_batches())) for a, b in zip(*(col.to_pylist() for col in r.columns))}
-    assert len(out) == 6 and pairs == {(i, j) for i in range(n) for j in range(i + 1, n)}
+    blocks = near_copies._buckets((pa.scalar(0),), t).to_pylist()
+    assert [(r["i"], r["k"], r["b"]) for r in blocks] == [(0, 3, None), (1, 3, None), (2, 3, None)]
+    crossed = pa.RecordBatch.from_pylist([{"a": x["a"], "b": y["a"]} for x in blocks for y in blocks if x["i"] <= y["i"]])
+    pairs = [p for r in near_copies._crosswise(iter([crossed])) for p in zip(*(col.to_pylist() for col in r.columns))]
+    assert len(pairs) == len(set(pairs)) == n * (n - 1) // 2 and all(a < b for a, b in pairs)
 
 
 # ---- packing
