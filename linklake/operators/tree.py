@@ -64,7 +64,7 @@ def empty_folders(nodes: DataFrame) -> DataFrame:
 def descendant_titles(nodes: DataFrame, root_id: str) -> DataFrame:
     """(title): distinct titles of the folders below a node."""
     cur = hierarchy.current_nodes(nodes)
-    below = hierarchy.descendants(nodes).where(F.col("ancestor_id") == root_id).select("id")
+    below = hierarchy.below(cur, root_id)
     return cur.where(is_folder() & not_blank(F.col("title"))).join(below, "id", "left_semi").select("title").distinct()
 
 
@@ -109,7 +109,7 @@ def undo(nodes: DataFrame, log: DataFrame) -> DataFrame:
 
 def delete_subtree(nodes: DataFrame, root_id: str, keep_root: bool = False) -> DataFrame:
     """Without the node and everything below it; with ``keep_root`` the node itself stays (clearing a folder)."""
-    gone = hierarchy.descendants(nodes).where(F.col("ancestor_id") == root_id).select("id")
+    gone = hierarchy.below(hierarchy.current_nodes(nodes, ["parent_id"]), root_id)
     rest = nodes.join(gone, "id", "left_anti")
     return rest if keep_root else rest.where(~F.col("id").eqNullSafe(F.lit(root_id)))
 

@@ -74,7 +74,7 @@ ORACLES = {
         where o.id is null or n.id is null or n.parent_id is distinct from o.parent_id or n.title is distinct from o.title or n.url is distinct from o.url""",
     "p7_found": f"with recursive {_NODES}, {_DOWN}, {_STUCK} select id, root_id, depth from down union all select id, root_id, -1 from low",
     "p7_paths": f"with recursive {_NODES}, {_DOWN}, {_STUCK} select id, root_id, depth, path, order_key from down union all select id, root_id, -1, null, null from low",
-    "p7_descendants": f"""with recursive {_NODES}, {_DOWN}, up as (select id, parent as ancestor_id, 1 as distance from tree where parent is not null and id in (select id from down)
-        union all select u.id, t.parent, u.distance + 1 from up u join tree t on t.id = u.ancestor_id where t.parent is not null)
+    "p7_descendants": f"""with recursive {_NODES}, {_DOWN}, {_STUCK}, off as (select * from tree where parent is not null and id not in (select id from ring)),
+        up as (select id, parent as ancestor_id, 1 as distance from off union all select u.id, t.parent, u.distance + 1 from up u join off t on t.id = u.ancestor_id)
         select ancestor_id, id, distance from up""",
 }

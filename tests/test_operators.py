@@ -101,6 +101,15 @@ def brute(parents):
     return out
 
 
+def climb(parents, at, stop=()):
+    """Nodes from ``at`` upwards, up to a repetition or past a node of ``stop``."""
+    seen = []
+    while at in parents and at not in seen:
+        seen.append(at)
+        at = None if at in stop else parents[at]
+    return seen
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_hierarchy_against_walking(spark, seed):
     rng = random.Random(seed)
@@ -113,13 +122,11 @@ def test_hierarchy_against_walking(spark, seed):
     assert {i: (r["root_id"], r["depth"]) for i, r in got.items()} == want
     assert all((r["path"] is None) == (r["depth"] < 0) and (r["path"] is None or len(r["path"]) == r["depth"] + 1) for r in got.values())
     pairs = {(r["ancestor_id"], r["id"], r["distance"]) for r in hierarchy.descendants(df).collect()}
-    expected = set()
-    for i, (_, depth) in want.items():
-        at, k = i, 0
-        while depth > k:
-            at, k = clean[at], k + 1
-            expected.add((at, i, k))
+    on_ring = {i for i in ids if want[i][1] < 0 and i in climb(clean, clean[i])}
+    expected = {(at, i, k + 1) for i in parents if i not in on_ring for k, at in enumerate(climb(clean, clean[i], on_ring))}
     assert pairs == expected
+    for root in (max(expected)[0], *sorted(on_ring)[:1], "000", "none"):
+        assert rows(hierarchy.below(hierarchy.current_nodes(df), root)) == sorted((i,) for a, i, _ in expected if a == root)
 
 
 def test_hierarchy_versions_and_empty(spark):
