@@ -29,12 +29,12 @@ def resolve(nodes: DataFrame, segment: Column | None = None, ws: Workspace | Non
 
     A node whose parent_id is null, blank or no id of the table is a root of depth 0. Nodes on or below a cycle, their
     own parent included, get depth -1, the smallest id on the cycle as root_id and null segments. ``segments`` holds the
-    value of ``segment`` (null counts as '') of every node from the root to the node itself; it is null if no segment is
-    asked for. With ``cut_cycles`` the nodes on cycles count as roots, so that what hangs below them is a tree. An empty
+    value of ``segment``, of any type, of every node from the root to the node itself; it is null if no segment is asked
+    for. With ``cut_cycles`` the nodes on cycles count as roots, so that what hangs below them is a tree. An empty
     table gives an empty result.
     """
     ws = ws or Workspace(nodes.sparkSession, "hierarchy")
-    seg = F.coalesce(segment, F.lit("")) if segment is not None else F.lit(None).cast("string")
+    seg = segment if segment is not None else F.lit(None).cast("string")
     base = ws.put(nodes.select("id", F.when(not_blank(F.col("parent_id")), F.col("parent_id")).alias("p"), seg.alias("seg")))
     inner, ring = _inner(base, ws), None
     done, stuck, rounds = _roots(inner, ws)
@@ -48,17 +48,17 @@ def resolve(nodes: DataFrame, segment: Column | None = None, ws: Workspace | Non
             done, _, rounds = _roots(inner, ws)
         else:
             ring = stuck.select("id", "up").join(ring.select(F.col("id").alias("up"), "low"), "up").select("id", F.col("low").alias("root_id"), F.lit(-1).alias("depth"))
-    above = done.select("id", "root_id", "depth")
+    above, kind = done.select("id", "root_id", "depth"), f"array<{dict(base.dtypes)['seg']}>"
     if segment is not None:
         above = above.join(_paths(base, inner, done, rounds, ws), "id")
     else:
-        above = above.withColumn("up_segments", F.lit(None).cast("array<string>"))
+        above = above.withColumn("up_segments", F.lit(None).cast(kind))
     if ring is not None:
-        above = above.unionByName(ring.withColumn("up_segments", F.lit(None).cast("array<string>")))
+        above = above.unionByName(ring.withColumn("up_segments", F.lit(None).cast(kind)))
     above = above.select(F.col("id").alias("p"), F.col("root_id").alias("r"), F.col("depth").alias("d"), "up_segments")
     # a crowded parent is a skewed key of the large side only, which adaptive execution splits
     out = base.join(above.hint("merge"), "p", "left")
-    own = F.array("seg") if segment is not None else F.lit(None).cast("array<string>")
+    own = F.array("seg") if segment is not None else F.lit(None).cast(kind)
     segments = F.when(F.col("d").isNull(), own).when(F.col("d") >= 0, F.concat("up_segments", own))
     depth = F.when(F.col("d").isNull(), 0).when(F.col("d") < 0, -1).otherwise(F.col("d") + 1)
     return out.select("id", F.when(F.col("d").isNotNull(), F.col("p")).alias("parent"), F.coalesce("r", "id").alias("root_id"), depth.alias("depth"), segments.alias("segments"))
@@ -121,9 +121,8 @@ def full_hierarchy(nodes: DataFrame) -> DataFrame:
     (null and blank titles as ''), ``order_key`` sorts a root's nodes in preorder, siblings by idx. Both are null for
     nodes at a cycle, which are the ones with depth -1."""
     cur = current_nodes(nodes)
-    both = F.to_json(F.struct(sibling_key(F.col("idx"), F.col("id")).alias("k"), F.coalesce(F.trim("title"), F.lit("")).alias("t")))
-    r = resolve(cur, both)
-    return r.select("id", F.col("parent").alias("parent_id"), "root_id", "depth", F.transform("segments", lambda s: F.get_json_object(s, "$.t")).alias("path"), F.array_join(F.transform("segments", lambda s: F.get_json_object(s, "$.k")), "/").alias("order_key"))
+    r = resolve(cur, F.struct(sibling_key(F.col("idx"), F.col("id")).alias("k"), F.coalesce(F.trim("title"), F.lit("")).alias("t")))
+    return r.select("id", F.col("parent").alias("parent_id"), "root_id", "depth", F.col("segments.t").alias("path"), F.array_join("segments.k", "/").alias("order_key"))
 
 
 def descendants(nodes: DataFrame) -> DataFrame:
@@ -132,9 +131,8 @@ def descendants(nodes: DataFrame) -> DataFrame:
     gathered. Nodes on a cycle, which are all below each other, count as roots here: they have no ancestors, and what
     hangs below each of them is listed."""
     cur = current_nodes(nodes)
-    r = resolve(cur, F.to_json(F.struct(F.col("id").alias("i"), sibling_key(F.col("idx"), F.col("id")).alias("k"))), cut_cycles=True)
-    ids = F.transform("segments", lambda s: F.get_json_object(s, "$.i"))
-    key = F.array_join(F.transform("segments", lambda s: F.get_json_object(s, "$.k")), "/")
+    r = resolve(cur, F.struct(F.col("id").alias("i"), sibling_key(F.col("idx"), F.col("id")).alias("k")), cut_cycles=True)
+    ids, key = F.col("segments.i"), F.array_join("segments.k", "/")
     up = r.where("depth > 0").select("id", "depth", key.alias("order_key"), F.posexplode(F.slice(ids, F.lit(1), F.col("depth"))).alias("level", "ancestor_id"))
     return up.select("ancestor_id", "id", (F.col("depth") - F.col("level")).alias("distance"), "order_key")
 

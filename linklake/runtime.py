@@ -37,10 +37,10 @@ class Workspace:
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").parquet(path, partitionBy=partition_by)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._linklake_path = path  # type: ignore[attr-defined]
         return out
@@ -54,9 +54,11 @@ class Workspace:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_linklake_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            self.delete(path)
+
+    def delete(self, path: str) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -64,10 +64,12 @@ def test_snapshot_diff(spark):
         ("m", "1", None, 0, "t", "u", T), ("nobody", "1", None, 0, "t", "u", T), ("a", None, None, 0, "t", "u", T)], NODE)
     assert rows(snapshot_diff.diff_all(s, n)) == [("a", "2", "changed"), ("a", "3", "removed"), ("a", "4", "added"), ("e", "1", "removed"), ("e", "2", "removed"), ("e", "4", "removed")]
     assert rows(snapshot_diff.diff_all(s, n.limit(0))) == [] and rows(snapshot_diff.diff_all(s.limit(0), n)) == []
+    assert rows(snapshot_diff.replay(s, n)) == rows(snapshot_diff.diff_all(s, n))
+    assert rows(snapshot_diff.replay(s, n.limit(0))) == [] and rows(snapshot_diff.replay(s.limit(0), n)) == []
 
 
 def test_snapshot_index_swaps(spark):
-    index = snapshot_diff.SnapshotIndex(spark, "id", ["parent_id", "title", "url"], "loaded_at", buckets=2)
+    index = snapshot_diff.SnapshotIndex(spark, ["id"], ["parent_id", "title", "url"], "loaded_at", buckets=2)
     day = lambda *r: spark.createDataFrame([("s", *x, T) for x in r], NODE)
     try:
         assert [r["change_kind"] for r in index.apply(day(("1", None, 0, "t", "u"))).collect()] == ["added"]
