@@ -125,16 +125,18 @@ def _range(idf, omega):
         weighed, total = (w[:, None] * o).astype(np.float32), np.zeros(o.shape)
         for b in batches:
             for _, size, (terms, *_rest) in _both(b):
-                for i in range(0, len(terms), 50_000):
-                    t = terms[i : i + 50_000]
-                    t = t[(t > 0).any(axis=1)]
-                    if not len(t):
-                        continue
-                    image = weighed[t].sum(axis=1)
-                    flat = t.ravel()
+                for i in range(0, len(terms), 6000):  # so that the images stay in the processor's cache
+                    t = terms[i : i + 6000]
+                    image = weighed[t[:, 0]]
+                    for k in range(1, size):
+                        image += weighed[t[:, k]]
+                    at = np.flatnonzero(t)
+                    flat = t.ravel()[at]
                     order = np.argsort(flat, kind="stable")
-                    starts = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
-                    total[flat[order][starts]] += np.add.reduceat(image[order // size], starts, axis=0)
+                    flat = flat[order]
+                    starts = np.flatnonzero(np.diff(flat, prepend=-1))
+                    if len(starts):
+                        total[flat[starts]] += np.add.reduceat(image[at[order] // size], starts, axis=0)
         total *= w[:, None]
         if total.any():
             yield _chunk(total)
@@ -215,18 +217,66 @@ def common_run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
     return i - s, s + n
 
 
+class Subsequences:
+    """Longest common subsequences of many pairs of an item and a document at once. The table's row of a pair is a string
+    of bits, one for each term of the item; a step takes the next term of every pair's document."""
+
+    def __init__(self, sequences: list[np.ndarray]):
+        self.lengths = np.array([len(q) for q in sequences], np.int64)
+        self.limbs = max(1, -(-int(self.lengths.max(initial=0)) // 64))
+        self.terms, self.masks, self.base = [], [np.zeros((1, self.limbs), np.uint64)], []
+        n = 1
+        for q in sequences:
+            distinct, at = np.unique(q, return_inverse=True)
+            mask = np.zeros((len(distinct), self.limbs), np.uint64)
+            place = np.arange(len(q))
+            np.bitwise_or.at(mask, (at, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+            self.terms.append(distinct)
+            self.masks.append(mask)
+            self.base.append(n)
+            n += len(distinct)
+        self.masks = np.concatenate(self.masks)
+
+    def of(self, items: np.ndarray, documents: np.ndarray, texts: list[np.ndarray], v: int) -> np.ndarray:
+        """Length for each pair (items[k], texts[documents[k]])."""
+        rows: list[np.ndarray] = [np.empty(0, np.int64)] * len(items)
+        place = np.zeros(v, np.int64)
+        for item in np.unique(items).tolist():
+            place[self.terms[item]] = self.base[item] + np.arange(len(self.terms[item]))
+            place[0] = 0  # the code of terms that no item has
+            for k in np.flatnonzero(items == item).tolist():
+                r = place[texts[documents[k]]]
+                rows[k] = r[r > 0]
+            place[self.terms[item]] = 0
+        size = np.array([len(r) for r in rows], np.int64)
+        order = np.argsort(-size, kind="stable")
+        row = np.full((len(items), self.limbs), ~np.uint64(0))
+        starts = (np.cumsum(size[order]) - size[order]).astype(np.int64)
+        flat = np.concatenate([rows[k] for k in order.tolist()]) if len(order) else np.empty(0, np.int64)
+        active = len(order) - np.searchsorted(size[order][::-1], np.arange(size.max(initial=0)), side="right")
+        for step, n in enumerate(active.tolist()):
+            now = row[:n]
+            hit = now & self.masks[flat[starts[:n] + step]]
+            carry = np.zeros(n, np.uint64)
+            for limb in range(self.limbs):
+                a, b = now[:, limb], hit[:, limb]
+                plus = a + b
+                over = plus < a
+                plus += carry
+                carry = (over | (plus < carry)).astype(np.uint64)
+                row[:n, limb] = plus | (a - b)
+        left = np.empty(len(items), np.int64)
+        n = self.lengths[items[order]]
+        bits = np.clip(n[:, None] - 64 * np.arange(self.limbs), 0, 64)
+        full = np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << (bits % 64).astype(np.uint64)) - np.uint64(1))
+        left[order] = n - np.bitwise_count(row & full).sum(axis=1)
+        return left
+
+
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of known terms; a row of the table is one integer of len(a) bits."""
-    places: dict[int, int] = defaultdict(int)
-    for i, x in enumerate(a.tolist()):
-        if x > 0:
-            places[x] |= 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for x in b.tolist():
-        if hit := places.get(x, 0) & row:
-            row = (row + hit | row - hit) & full
-    return len(a) - row.bit_count()
+    """Length of the longest common subsequence of known terms."""
+    v = int(max(a.max(initial=0), b.max(initial=0))) + 1
+    return int(Subsequences([a]).of(np.zeros(1, np.int64), np.zeros(1, np.int64), [b], v)[0])
 
 
 def held_rare(flat: np.ndarray, offsets: np.ndarray, starts: np.ndarray, posted: np.ndarray, n: int) -> np.ndarray:
@@ -246,6 +296,7 @@ def _search(shared):
         s = shared.value
         projection = s["projection"]
         present = np.zeros(len(projection), bool)
+        subsequences = {k: Subsequences(q) for k, q in s["sequences"].items()}
         for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             docs = b.column(0).to_pylist()
             best: dict[tuple[int, int], list] = defaultdict(lambda: [0, 0, 0.0, 0.0])
@@ -274,17 +325,23 @@ def _search(shared):
                 lengths = np.array([len(q) for q in sequences])
                 held = held_rare(flat, offsets, *s["postings"][name], len(sequences))
                 enough = (held / s["rare_count"][name] >= s["min_answer"]) & (lengths >= size)
+                pairs, held_of = [], []
+                texts: list[np.ndarray] = []
                 for d in np.flatnonzero(enough.any(axis=1)).tolist():
                     doc = flat[offsets[d] : offsets[d + 1]]
                     present[doc] = True
                     present[0] = False
-                    for i in np.flatnonzero(enough[d]).tolist():
-                        q = sequences[i]
-                        if np.count_nonzero(present[q]) / len(q) >= s["min_lcs"]:
-                            entry = best[d, i]
-                            lcs, answer = common_subsequence(q, doc[present[doc]]) / len(q), held[d, i] / s["rare_count"][name][i]
-                            entry[2:] = max(entry[2:], [lcs, answer], key=lambda x: (x[0] >= s["min_lcs"], x))
+                    pairs += [(len(texts), i) for i in np.flatnonzero(enough[d]).tolist() if np.count_nonzero(present[sequences[i]]) >= s["min_lcs"] * lengths[i]]
                     present[doc] = False
+                    texts.append(doc)
+                    held_of.append(d)
+                if not pairs:
+                    continue
+                at, item = np.array(pairs).T
+                lcs = subsequences[name].of(item, at, texts, len(projection)) / lengths[item]
+                for k, (d, i) in enumerate(zip(np.array(held_of)[at].tolist(), item.tolist())):
+                    entry = best[d, i]
+                    entry[2:] = max(entry[2:], [float(lcs[k]), held[d, i] / s["rare_count"][name][i]], key=lambda x: (x[0] >= s["min_lcs"], x))
             out = [(s["items"][item], docs[d], *map(int, e[:2]), *map(float, e[2:])) for (d, item), e in best.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in ([x[0] for x in out], [x[1] for x in out], pa.array([x[2] for x in out], pa.int32()), pa.array([x[3] for x in out], pa.int32()), [x[4] for x in out], [x[5] for x in out])], names=["item_id", "doc_id", "run", "han_run", "lcs", "answer"])
