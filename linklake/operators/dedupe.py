@@ -7,6 +7,7 @@ connected components. The caps on buckets, candidates and group sizes are part o
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -54,11 +55,16 @@ def roles(members: DataFrame, group: list[str]) -> DataFrame:
 def exact_groups(rows: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa: B008
     """(norm, chunk, group_id, id, role, place): rows of one canonical address, in chunks of ``max_group`` in id order.
     Single rows, and a chunk left with one row, are no group."""
-    several = rows.groupBy("norm").agg(F.count("*").alias("n")).where("n > 1")
+    ws = Workspace(rows.sparkSession, "exact")
+    several = ws.put(rows.groupBy("norm").agg(F.count("*").alias("n")).where("n > 1"))
     # a crowded address is a skewed key of the large side only
     members = rows.join(several, "norm")
-    numbered = number_in_group(members, ["norm"], ["id"]).withColumn("chunk", F.floor(F.col("place") / opts.max_group)).drop("place")
-    sized = numbered.where((F.col("chunk") + 1) * opts.max_group < F.col("n") + opts.max_group).where(~((F.col("n") % opts.max_group == 1) & (F.col("chunk") * opts.max_group == F.col("n") - 1)))
+    one = members.where(F.col("n") <= opts.max_group).withColumn("chunk", F.lit(0).cast("bigint"))
+    if several.where(F.col("n") > opts.max_group).isEmpty():
+        sized = one
+    else:  # only crowded addresses need numbers, which take range partitions
+        crowded = number_in_group(members.where(F.col("n") > opts.max_group), ["norm"], ["id"]).withColumn("chunk", F.floor(F.col("place") / opts.max_group)).drop("place")
+        sized = one.unionByName(crowded).where(~((F.col("n") % opts.max_group == 1) & (F.col("chunk") * opts.max_group == F.col("n") - 1)))
     name = F.concat(F.lit("exact-"), text.short_hash(F.col("norm")), F.when(F.col("n") > opts.max_group, F.concat(F.lit("-"), F.col("chunk").cast("string"))).otherwise(""))
     return roles(sized, ["norm", "chunk"]).select("norm", "chunk", name.alias("group_id"), "id", "role", "place")
 
@@ -121,6 +127,43 @@ def similar_groups(rows: DataFrame, opts: Options = Options()) -> DataFrame:  #
     return roles(pieces, ["root", "piece"]).select("domain", "root", "piece", "id", "role", "place", "score")
 
 
+def find_duplicates(df: DataFrame, opts: Options = Options(), include_exact: bool = True, include_similar: bool = True) -> DataFrame:  # noqa: B008
+    """(kind, group_id, key, score, id, role, place): exact groups (score 1, key the canonical address) and similar ones
+    (key the domain and a hash of the members' ids). A row may be in a group of either kind."""
+    rows = Workspace(df.sparkSession, "duplicates").put(valid_rows(df))
+    parts = []
+    if include_exact:
+        parts.append(exact_groups(rows, opts).select(F.lit("exact").alias("kind"), "group_id", F.col("norm").alias("key"), F.lit(1.0).alias("score"), "id", "role", "place"))
+    if include_similar:
+        parts.append(named_similar(similar_groups(rows, opts)))
+    if not parts:
+        raise ValueError("nothing to look for")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def named_similar(groups: DataFrame) -> DataFrame:
+    """``similar_groups`` with ids: a hash of the domain and the ids of the piece's members (at most ``max_group``), and
+    the piece where a component has several."""
+    ids = groups.groupBy("domain", "root", "piece").agg(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("ids"))
+    pieces = groups.groupBy("root").agg(F.max("piece").alias("last"))
+    # a group of one piece has no number; a second piece of one row is left out of the groups but counts
+    named = ids.join(pieces, "root").select("root", "piece", F.concat(F.lit("similar-"), text.short_hash(F.concat("domain", F.lit(":"), "ids")), F.when(F.col("last") > 0, F.concat(F.lit("-"), F.col("piece").cast("string"))).otherwise("")).alias("group_id"), F.concat("domain", F.lit(":"), text.short_hash(F.col("ids"))).alias("key"))
+    return groups.join(named, ["root", "piece"]).select(F.lit("similar").alias("kind"), "group_id", "key", "score", "id", "role", "place")
+
+
+def by_size(groups: DataFrame) -> DataFrame:
+    """(group_id, n), largest first, ties by id: the order in which groups are shown."""
+    return groups.groupBy("group_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group_id")
+
+
+def shown(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """(group_id, id, shown_at): members of each (bounded) group newest first, null dates last; 0 is the kept one on
+    screen, whatever its role."""
+    dated = groups.select("group_id", "id").join(rows.select("id", "date_added"), "id")
+    order = W.partitionBy("group_id").orderBy(F.col("date_added").desc_nulls_last(), "id")
+    return dated.select("group_id", "id", (F.row_number().over(order) - 1).alias("shown_at"))
+
+
 def statistics(df: DataFrame, opts: Options = Options()) -> DataFrame:  # noqa: B008
     """One row: scanned, exact_groups, candidate_pairs, skipped_buckets."""
     rows = Workspace(df.sparkSession, "statistics").put(valid_rows(df))

@@ -60,7 +60,7 @@ def agg3_exact_groups(spark, d):
 
 @query(f"with {_VALID} select domain, count(*) as n, count(*) > 2000 as skipped from valid group by domain having count(*) > 1")
 def agg4_domain_buckets(spark, d):
-    return dedupe.buckets(_rows(spark, d))
+    return dedupe.buckets(dedupe.valid_rows(table(spark, d, "bookmark")))
 
 
 _CAND = f"""{_VALID}, usable as (select domain from valid group by domain having count(*) between 2 and 2000),
@@ -93,6 +93,30 @@ def eng1_similar_groups(spark, d):
     return dedupe.similar_groups(_rows(spark, d)).select("domain", "root", "id", "score", "role")
 
 
+_NAMED = f"""{_SIMILAR}, ex as (select * from (select *, count(*) over (partition by norm, chunk) as m, row_number() over (partition by norm, chunk order by depth, date_added nulls last, length(url), id::varchar) as r
+    from (select *, count(*) over (partition by norm) as n, (row_number() over (partition by norm order by id) - 1) // 200 as chunk from valid)) where n > 1 and m > 1),
+  sim as (select *, count(*) over (partition by root, piece) as m, row_number() over (partition by root, piece order by depth, date_added nulls last, length(url), id::varchar) as r, max(piece) over (partition by root) as last from pieced),
+  ids as (select domain, root, piece, string_agg(id::varchar, ',' order by id::varchar) as ids from sim where m > 1 group by all),
+  dups as (select 'exact' as kind, 'exact-' || {_HASH('norm')} || (case when n > 200 then '-' || chunk else '' end) as group_id, norm as key, 1.0::double as score, id, case when r = 1 then 'keep' else 'remove' end as role, date_added from ex
+    union all select 'similar', 'similar-' || {_HASH("(i.domain || ':' || i.ids)")} || (case when last > 0 then '-' || s.piece else '' end), i.domain || ':' || {_HASH('i.ids')}, s.score::double, s.id, case when r = 1 then 'keep' else 'remove' end, s.date_added from sim s join ids i using (root, piece))"""
+
+
+@query(f"with recursive {_NAMED} select kind, group_id, key, score, id, role from dups")
+def eng1_find_duplicates(spark, d):
+    return dedupe.find_duplicates(table(spark, d, "bookmark")).select("kind", "group_id", "key", "score", "id", "role")
+
+
+@query(f"with recursive {_NAMED} select group_id, count(*) as n from dups group by group_id")
+def srt1_groups_by_size(spark, d):
+    return dedupe.by_size(dedupe.find_duplicates(table(spark, d, "bookmark")))
+
+
+@query(f"with recursive {_NAMED} select group_id, id, row_number() over (partition by group_id order by date_added desc nulls last, id) - 1 as shown_at from dups where kind = 'exact'")
+def srt5_shown_duplicates(spark, d):
+    b = table(spark, d, "bookmark")
+    return dedupe.shown(dedupe.find_duplicates(b, include_similar=False), b)
+
+
 @query(f"with recursive {_SIMILAR} select id, root from roots")
 def eng3_components(spark, d):
     rows = _rows(spark, d)
@@ -108,7 +132,7 @@ def agg6_dedupe_statistics(spark, d):
 
 for _rule, _order in {"oldest": "coalesce(date_added, 0)", "newest": "coalesce(date_added, 0) desc", "longestUrl": "length(url) desc", "shortestUrl": "length(url)", "longestTitle": "length(coalesce(title, '')) desc", "shortestTitle": "length(coalesce(title, ''))"}.items():
     _name = f"agg23_keep_{_rule}"
-    QUERIES[_name] = lambda spark, d, rule=_rule: dedupe.smart_keep(_rows(spark, d), rule)
+    QUERIES[_name] = lambda spark, d, rule=_rule: dedupe.smart_keep(dedupe.valid_rows(table(spark, d, "bookmark")), rule)
     ORACLES[_name] = f"with {_VALID} select norm, id as keep_id from (select *, count(*) over (partition by norm) as n, row_number() over (partition by norm order by {_order}, id) as r from valid) where n > 1 and r = 1"
 
 # ---- trees
