@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from linklake.functions import urls
 
 STATES = ["ok", "redirect", "broken", "blocked", "server_error", "timeout", "empty", "invalid", "unsupported"]
+# What a report shows for a state: bucket and label. States that are missing here are no faults.
+REPORTED = {"empty": ("empty", "空链接"), "invalid": ("invalid", "无效URL"), "unsupported": ("invalid", "无效URL"), "timeout": ("timeout", "超时"), "blocked": ("status", "访问受限"), "broken": ("status", "状态码异常"), "server_error": ("status", "状态码异常")}
 RESPONSE = "norm string, head_status int, get_status int, retry_status int, final_url string"
 
 
@@ -64,3 +66,30 @@ def summary(checked: DataFrame) -> DataFrame:
     """One row: a counter for each state, total and skipped."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     return checked.agg(*map(n, STATES), F.count("*").alias("total"), F.count_if(F.col("status").isin("empty", "invalid", "unsupported")).alias("skipped"))
+
+
+def reported(checked: DataFrame, include: list[str] | None = None) -> DataFrame:
+    """(id, bucket, label) of the links that a report shows, of the buckets ``include`` only if given."""
+    both = None
+    for state, (bucket, name) in REPORTED.items():
+        value = F.struct(F.lit(bucket).alias("bucket"), F.lit(name).alias("label"))
+        both = F.when(F.col("status") == state, value) if both is None else both.when(F.col("status") == state, value)
+    out = checked.select("id", both.alias("b")).where("b is not null").select("id", "b.bucket", "b.label")
+    return out if include is None else out.where(F.col("bucket").isin(include))
+
+
+def by_label(report: DataFrame) -> DataFrame:
+    """(label, n) of a report, largest first."""
+    return report.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
+
+
+def plainly_valid(head: Column, get: Column) -> Column:
+    """Whether a plain probe succeeds: HEAD below 400, else GET below 400; null and -1 are failures."""
+    ok = lambda c: F.coalesce((c > 0) & (c < 400), F.lit(False))
+    return ok(head) | ok(get)
+
+
+def validated(found: DataFrame, responses: DataFrame) -> DataFrame:
+    """(id, valid): rows of a search with the outcome of a plain probe; addresses without a response are not valid."""
+    keyed = found.select("id", urls.normalize(F.col("url")).alias("norm"))
+    return keyed.join(responses.select("norm", "head_status", "get_status"), "norm", "left").select("id", plainly_valid(F.col("head_status"), F.col("get_status")).alias("valid"))

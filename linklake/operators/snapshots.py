@@ -38,3 +38,34 @@ def counts(rows: DataFrame) -> DataFrame:
     one = rows.groupBy("snapshot_id", "id").agg(F.max(F.struct("loaded_at", "parent_id", "idx", "title", "url")).alias("r"))
     link = F.coalesce(F.col("r.url") != "", F.lit(False))
     return one.groupBy("snapshot_id").agg(F.count_if(link).alias("bookmarks"), F.count_if(~link).alias("folders"), F.count("*").alias("total"))
+
+
+def listed(snapshots: DataFrame, rows: DataFrame) -> DataFrame:
+    """(snapshot_id, library_id, created_at, action, total), newest first; repeated rows once."""
+    n = rows.groupBy("snapshot_id").agg(F.count_distinct("id").alias("total"))
+    one = snapshots.groupBy("snapshot_id").agg(F.max(F.struct("created_at", "library_id", "action")).alias("s")).select("snapshot_id", "s.*")
+    return one.join(n, "snapshot_id", "left").select("snapshot_id", "library_id", "created_at", "action", F.coalesce("total", F.lit(0)).alias("total")).orderBy(F.desc("created_at"), "snapshot_id")
+
+
+def get(rows: DataFrame, snapshot_id: str) -> DataFrame:
+    """The nodes of one snapshot, each once, the row loaded last."""
+    best = rows.where(F.col("snapshot_id") == snapshot_id).groupBy("id").agg(F.max(F.struct("loaded_at", "parent_id", "idx", "title", "url")).alias("r"))
+    return best.select("id", "r.parent_id", "r.idx", "r.title", "r.url")
+
+
+def deleted(rows: DataFrame, snapshot_ids: list[str]) -> DataFrame:
+    return rows.where(~F.col("snapshot_id").isin(snapshot_ids))
+
+
+def cleared(rows: DataFrame) -> DataFrame:
+    return rows.limit(0)
+
+
+def restore_tree(rows: DataFrame, snapshot_id: str, builtin: list[str] = ["0", "1", "2", "3"], prefix: str = "r") -> tuple[DataFrame, DataFrame]:  # noqa: B006
+    """(nodes, counts): as ``restore``, but built-in roots keep their ids and are not created again; counts has created and
+    total."""
+    s = get(rows, snapshot_id)
+    kept = lambda c: F.when(c.isin(builtin), c).otherwise(F.concat(F.lit(prefix), c))
+    known = s.select(F.col("id").alias("parent_id"), F.lit(True).alias("_k"))
+    new = s.join(known, "parent_id", "left").select(kept(F.col("id")).alias("id"), F.when(F.col("_k"), kept(F.col("parent_id"))).otherwise(F.col("parent_id")).alias("parent_id"), "idx", "title", "url", (~F.col("id").isin(builtin)).alias("created"))
+    return new, new.agg(F.count_if("created").alias("created"), F.count("*").alias("total"))

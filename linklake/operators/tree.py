@@ -38,6 +38,31 @@ def children(nodes: DataFrame, parent_id: str) -> DataFrame:
     return hierarchy.current_nodes(nodes).where(F.col("parent_id") == parent_id).orderBy("idx", "id")
 
 
+def node(nodes: DataFrame, id_: str) -> DataFrame:
+    """The current row of one id; the filter reaches the scan."""
+    return hierarchy.current_nodes(nodes.where(F.col("id") == id_))
+
+
+def trash(nodes: DataFrame, parent_id: str, title: str, legacy: list[str] = []) -> DataFrame:  # noqa: B006
+    """(new version with a folder for discarded nodes below ``parent_id``): one with the title stays, else one with a
+    legacy title (the smallest id) is renamed, else one is made. ``nodes`` has unique ids."""
+    here = nodes.where(is_folder() & (F.col("parent_id") == parent_id))
+    if not here.where(F.col("title") == title).isEmpty():
+        return nodes
+    old = here.where(F.col("title").isin(legacy)).agg(F.min("id")).first()[0] if legacy else None
+    if old is not None:
+        return nodes.withColumn("title", F.when(F.col("id") == old, title).otherwise(F.col("title")))
+    wanted = nodes.sparkSession.createDataFrame([(parent_id, title)], "parent_id string, title string")
+    return nodes.unionByName(ensure_folders(nodes, wanted), allowMissingColumns=True)
+
+
+def inserted(nodes: DataFrame, parsed: DataFrame, parent_id: str, prefix: str = "i") -> DataFrame:
+    """``nodes`` with the rows of ``from_json_tree`` below ``parent_id``; new ids are ``prefix`` and the place in the tree."""
+    at = lambda key: F.concat(F.lit(prefix), F.array_join(F.transform(key, lambda i: i.cast("string")), "."))
+    up = F.when(F.size("order_key") > 1, at(F.slice("order_key", 1, F.greatest(F.size("order_key") - 1, F.lit(1))))).otherwise(F.lit(parent_id))
+    return nodes.unionByName(parsed.select(at(F.col("order_key")).alias("id"), up.alias("parent_id"), "idx", "title", "url"), allowMissingColumns=True)
+
+
 def counts(nodes: DataFrame) -> DataFrame:
     """One row: bookmarks, folders, total."""
     cur = hierarchy.current_nodes(nodes)
@@ -61,6 +86,16 @@ def empty_folders(nodes: DataFrame) -> DataFrame:
     return r.where("folder").select("id", "depth").join(full, "id", "left_anti")
 
 
+def deepest_first(folders: DataFrame) -> DataFrame:
+    """Empty folders in the order in which they can be deleted one by one."""
+    return folders.orderBy(F.desc("depth"), "id")
+
+
+def without(folders: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Folders but for those of another list (duplicates, or the folder of discarded nodes)."""
+    return folders.join(excluded.select("id").distinct(), "id", "left_anti")
+
+
 def descendant_titles(nodes: DataFrame, root_id: str) -> DataFrame:
     """(title): distinct titles of the folders below a node."""
     cur = hierarchy.current_nodes(nodes)

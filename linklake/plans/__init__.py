@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["general_problems", "scalars", "engines", "more"]
+MODULES = ["general_problems", "scalars", "engines", "more", "later"]
 
 
 def collect(modules: list[str] = MODULES) -> tuple[dict, dict]:

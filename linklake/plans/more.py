@@ -28,45 +28,6 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"with {_NODES} select id, parent_id, title from cur where id = (select min(id) from nodes)")
-def src3_node(spark, d):
-    n = table(spark, d, "nodes")
-    return hierarchy.current_nodes(n).where(F.col("id") == n.agg(F.min("id")).first()[0]).select("id", "parent_id", "title")
-
-
-@query(f"with {_NODES}, top as (select * from tree where parent is null), up as (select t.parent as id, t.id as child from tree t where t.parent is not null) select id, 0 as idx from top union all select child, 0 from up join top using (id)")
-def src7_json_tree(spark, d):
-    """Two levels of every tree as nested JSON, unnested again."""
-    cur = Workspace(spark, "json").put(hierarchy.current_nodes(table(spark, d, "nodes")))
-    known = cur.select(F.col("id").alias("parent_id"), F.lit(True).alias("k"))
-    top = cur.join(known, "parent_id", "left").where("k is null").select("id")
-    kids = cur.join(top.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("parent_id", "id")
-    pairs = kids.select(F.to_json(F.struct(F.col("parent_id").alias("id"), F.array(F.struct("id")).alias("children"))).alias("j"))
-    both = tree.from_json_tree(pairs.union(top.select(F.to_json(F.struct("id")))), "j").select("id", "idx")
-    return both.distinct()
-
-
-@query("""select id, json_valid(j) as ok from (select id, case when id % 3 = 0 then '{"a": ' || id || '}' when id % 3 = 1 then '{"a": ' else '[1, 2]' end as j from bookmark)""")
-def src11_parse_json(spark, d):
-    j = F.when(F.col("id") % 3 == 0, F.concat(F.lit('{"a": '), F.col("id").cast("string"), F.lit("}"))).when(F.col("id") % 3 == 1, '{"a": ').otherwise("[1, 2]")
-    return table(spark, d, "bookmark").select("id", F.try_parse_json(j).isNotNull().alias("ok"))
-
-
-@query(f"select id, case when starts_with(x, '<') then 'html' else 'json' end as format from (select id, ltrim(case when id % 2 = 0 then ' <!doctype netscape' else coalesce({duck.trimmed('url')}, '') end) as x from bookmark)")
-def src12_sniff_format(spark, d):
-    x = F.when(F.col("id") % 2 == 0, " <!doctype netscape").otherwise(F.coalesce(urls.trimmed(F.col("url")), F.lit("")))
-    return table(spark, d, "bookmark").select("id", F.when(F.ltrim(x).startswith("<"), "html").otherwise("json").alias("format"))
-
-
-@query("select library_id, unnest(range(0, 2)) as tab, lower(library_id) as title from (select distinct library_id from bookmark where library_id is not null)")
-def src14_tab_lists(spark, d):
-    """Tabs out of {windows: [{tabs: [...]}]}."""
-    b = table(spark, d, "bookmark").where("library_id is not null").select("library_id").distinct()
-    tab = lambda i: F.struct(F.lit(i).cast("bigint").alias("tab"), F.lower("library_id").alias("title"))
-    windows = b.select("library_id", F.array(F.struct(F.array(tab(0)).alias("tabs")), F.struct(F.array(tab(1)).alias("tabs"))).alias("windows"))
-    return windows.select("library_id", F.inline(F.flatten(F.transform("windows", lambda w: w["tabs"]))))
-
-
 @query(f"with {_NODES} select id, url from cur where {_LINK}")
 def src15_extract_links(spark, d):
     return hierarchy.current_nodes(table(spark, d, "nodes")).where(~tree.is_folder()).select("id", "url")
@@ -80,14 +41,6 @@ def snk1_json_envelope(spark, d):
     return b.select(get("$.data.id").cast("bigint").alias("id"), get("$.schema").alias("s"), get("$.version").cast("int").alias("v"), get("$.data.title").alias("title"))
 
 
-@query()
-def snk2_netscape_round_trip(spark, d):
-    """All bookmarks written as lines of one file a library and read again: rows come back as they went."""
-    b = table(spark, d, "bookmark").where(urls.is_valid(F.col("url"))).select(F.col("id").alias("ord"), F.coalesce("title", F.lit("")).alias("title"), F.trim("url").alias("url"), F.slice(dates.path_array(F.col("path")), 1, 3).alias("path"), F.lit(None).cast("double").alias("add_date"), F.lit(None).cast("string").alias("icon"))
-    lines = netscape.lines(b).where("line like '%<A HREF%'")
-    return netscape.records(lines.withColumn("file", F.lit("f")), "file", "line").select("title", "url")
-
-
 _NAME = duck.trimmed("""regexp_replace(coalesce(nullif({}, ''), 'export'), '[\\/:*?"<>|]+', '-', 'g')""".format(duck.trimmed("title")))
 
 
@@ -117,18 +70,6 @@ def lnk3_head_then_get(spark, d):
     return table(spark, d, "bookmark").select("id", linkcheck.settled_status(h, (F.col("id") % 200 + 200).cast("int"), F.lit(None).cast("int"), 0).alias("settled"))
 
 
-@query("select id, (h > 0 and h < 400) or (g < 400) as valid from (select id, case id % 3 when 0 then -1 when 1 then 404 else 200 end as h, 200 + id % 400 as g from bookmark)")
-def lnk8_plain_probe(spark, d):
-    h = F.when(F.col("id") % 3 == 0, -1).when(F.col("id") % 3 == 1, 404).otherwise(200)
-    return table(spark, d, "bookmark").select("id", (((h > 0) & (h < 400)) | (F.col("id") % 400 + 200 < 400)).alias("valid"))
-
-
-@query(f"select status, count(*) as n from (select {_LNK1} as status from (select (100 + id % 600)::int as s from bookmark)) where status not in ('ok', 'redirect') group by status")
-def agg20_broken_groups(spark, d):
-    s = lnk1_status_map(spark, d)
-    return s.where("status not in ('ok', 'redirect')").groupBy("status").agg(F.count("*").alias("n"))
-
-
 @query(f"select count(*) filter (ok) as valid, count(*) filter (not ok) as invalid from (select coalesce({duck.is_web('a')} and {duck.host_of('a')} <> '', false) as ok from (select {duck.absolute('url')} as a from bookmark))")
 def agg25_validation_counts(spark, d):
     ok = urls.is_valid(F.col("url"))
@@ -146,12 +87,6 @@ def set2_union(spark, d):
     return b.unionByName(table(spark, d, "nodes").where("url is not null").select("id", "url", F.lit("node").alias("kind")))
 
 
-@query(f"select list_slice({_PATH}, 1, 2)[-1] as leaf, count(*) as n from bookmark where len({_PATH}) >= 2 group by 1")
-def srt2_second_folders(spark, d):
-    p = dates.path_array(F.col("path"))
-    return table(spark, d, "bookmark").where(F.size(p) >= 2).groupBy(F.element_at(p, 2).alias("leaf")).agg(F.count("*").alias("n")).orderBy("leaf")
-
-
 @query(f"with recursive {_NODES}, {_DOWN}, r as (select min(id) as id from tree where parent is null), below as (select t.id from tree t join r on t.parent = r.id union all select t.id from tree t join below b on t.parent = b.id) select id from cur where id not in (select id from below)")
 def dml4_clear_folder(spark, d):
     n = Workspace(spark, "clear").put(table(spark, d, "nodes"))
@@ -163,8 +98,3 @@ def dml4_clear_folder(spark, d):
 @query(f"with {_NODES} select 's1' as snapshot_id, id, parent_id, title from cur")
 def dml12_take_snapshot(spark, d):
     return snapshots.take(hierarchy.current_nodes(table(spark, d, "nodes")), "s1", "2025-01-01 00:00:00", "manual").select("snapshot_id", "id", "parent_id", "title")
-
-
-@query("select count(*) as n, sum(k)::bigint as with_terms from (select (len(list_filter(regexp_split_to_array(lower(coalesce(title, '')), '[\\s\\x{0b},，]+'), lambda w: w <> '')) > 3)::int as k from bookmark)")
-def agg22_keyword_counts(spark, d):
-    return table(spark, d, "bookmark").agg(F.count("*").alias("n"), F.sum((F.size(text.keywords(F.col("title"))) > 3).cast("bigint")).alias("with_terms"))

@@ -135,7 +135,7 @@ def lines(recs: DataFrame) -> DataFrame:
     indent = lambda n: F.repeat(F.lit("    "), n)
     opening = folder_key.select("key", F.concat(indent(F.size("p")), F.lit("<DT><H3>"), text.escape_html(F.element_at("p", -1)), F.lit("</H3>\n"), indent(F.size("p")), F.lit("<DL><p>")).alias("line"))
     closing = folder_key.select(F.concat("key", F.lit("3")).alias("key"), F.concat(indent(F.size("p")), F.lit("</DL><p>")).alias("line"))
-    number = F.when(F.col("add_date") == F.floor("add_date"), F.col("add_date").cast("bigint").cast("string")).otherwise(F.col("add_date").cast("string"))
+    number = F.when(F.col("add_date") == F.floor("add_date"), F.col("add_date").cast("bigint").cast("string")).otherwise(F.regexp_replace(F.col("add_date").cast("decimal(30,6)").cast("string"), "0+$", ""))
     attr = lambda name, c: F.coalesce(F.concat(F.lit(f' {name}="'), text.escape_html(c), F.lit('"')), F.lit(""))
     link = F.concat(indent(F.size("path") + 1), F.lit('<DT><A HREF="'), text.escape_html(F.coalesce("url", F.lit(""))), F.lit('"'), attr("ADD_DATE", number), attr("ICON", F.col("icon")), F.lit(">"), text.escape_html(F.coalesce("title", F.lit(""))), F.lit("</A>"))
     links = recs.join(folder_key.withColumnRenamed("p", "path"), "path", "left").select(F.concat(F.coalesce("key", F.lit("")), F.lit("1"), pad(F.col("ord"))).alias("key"), link.alias("line"))
