@@ -26,6 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders of the tables that this process has written.
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all tables that this process has put into the shared folder. Results that are still to be read need them,
+    so call it at the end of a job."""
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Workspace:
     """Tables written into the shared folder, to cut lineage so that a lost executor costs a re-read, not a re-run.
 
@@ -36,6 +52,7 @@ class Workspace:
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _WRITTEN.append(self.base)
 
     def put(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         self.n += 1
@@ -57,8 +74,7 @@ class Workspace:
             self.delete(path)
 
     def delete(self, path: str) -> None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

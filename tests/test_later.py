@@ -111,3 +111,16 @@ def test_rule_class_and_reports(spark):
     assert [r[0] for r in df.orderBy("id").select(archive.rule_class(F.col("title"), F.col("url"), {"paper": ["pdf"]}, rules)).collect()] == ["one", "two", "other", "paper", "other"]
     checked = spark.createDataFrame([(1, "ok", 200), (2, "blocked", 403), (3, "empty", None), (4, "broken", 404)], "id int, status string, http_status int")
     assert rows(linkcheck.reported(checked, ["status"]).select("id")) == [(2,), (4,)] and linkcheck.by_label(linkcheck.reported(checked)).count() == 3
+
+
+def test_clean_deletes_written_tables(spark):
+    import os
+
+    from linklake import runtime
+
+    ws = runtime.Workspace(spark, "clean")
+    df, n = ws.put_counted(spark.range(5), rows=F.count("*"), even=F.count_if(F.col("id") % 2 == 0))
+    folder = ws.base.removeprefix("file://")
+    assert n == {"rows": 5, "even": 3} and df.count() == 5 and os.path.isdir(folder)
+    runtime.clean(spark)
+    assert not os.path.exists(folder)
